@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .layout import layout_duplicates, layout_records
+from .lookalike import consistent_form, look_alike_matches
 from .terms import term_frequencies
 
 
@@ -32,6 +33,15 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return term_frequencies(_table(spark, sf_dir, "demo_city"), ["city", "country"])
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cities, places = _table(spark, sf_dir, "demo_city"), _table(spark, sf_dir, "ref_places")
+    return look_alike_matches(cities, "row_id", "city", "country", places, "place_id", "city", "country")
+
+
+def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistent_form(_table(spark, sf_dir, "demo_city"), "city", ["row_id", "city"]).select("row_id", "city", "form", "key")
+
+
 def queries() -> dict:
     own = globals()
     return {name: own[name] for name in sorted(own) if name[:1] == "p" and name[1:2].isdigit()}

@@ -42,6 +42,22 @@ WITH pieces AS (
   FROM counted JOIN present USING (field_name)
 )"""
 
+_SURVIVORS = f"""
+WITH rows AS (
+  SELECT d.*, coalesce(f.trust_rank, 2147483647) AS trust, row_number() OVER (
+           PARTITION BY entry_no ORDER BY coalesce(f.trust_rank, 2147483647), recorded_at DESC NULLS LAST, row_id) AS best
+  FROM demo_city d LEFT JOIN feeds f USING (feed)
+), fields AS (
+  SELECT entry_no, count(*) AS n_rows,
+         arg_min(row_id, best) FILTER (NOT {_gone('city')}) AS city_row_id,
+         arg_min(city, best) FILTER (NOT {_gone('city')}) AS city,
+         arg_min(row_id, best) FILTER (NOT {_gone('country')}) AS country_row_id,
+         arg_min(country, best) FILTER (NOT {_gone('country')}) AS country,
+         arg_min(row_id, best) FILTER (population > 0) AS population_row_id,
+         arg_min(population, best) FILTER (population > 0) AS population
+  FROM rows WHERE entry_no IS NOT NULL GROUP BY entry_no HAVING count(*) > 1
+)"""
+
 ORACLE = {
     "p1_found": _LAYOUT + " SELECT first_row_id, row_id AS copy_row_id FROM sets WHERE row_id <> first_row_id",
     "p1_records": _LAYOUT
@@ -50,5 +66,16 @@ SELECT d.row_id, d.city, d.country, d.population, coalesce(c.n, 1) AS n_rows
 FROM demo_city d LEFT JOIN counts c ON c.first_row_id = d.row_id
 WHERE d.population > 0 AND d.row_id NOT IN (SELECT row_id FROM sets WHERE row_id <> first_row_id)""",
     "p2_found": _TERMS + " SELECT field_name, term, mark FROM marked WHERE mark IS NOT NULL",
+    "p4_found": """
+WITH rows AS (
+  SELECT country, batch_no, population FROM demo_city
+  WHERE population > 0 AND country IN (SELECT country FROM ref_countries)
+), whole AS (SELECT country, median(population) AS m FROM rows GROUP BY 1),
+parts AS (SELECT country, batch_no, median(population) AS m FROM rows WHERE batch_no IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20)
+SELECT p.country, p.batch_no FROM parts p JOIN whole w USING (country) WHERE p.m > 8 * w.m OR p.m < w.m / 8.0""",
+    "p5_found": _SURVIVORS
+    + """ SELECT entry_no, city_row_id, country_row_id, population_row_id FROM fields
+WHERE city_row_id IS NOT NULL AND country_row_id IS NOT NULL AND population_row_id IS NOT NULL""",
+    "p5_records": _SURVIVORS + " SELECT entry_no, n_rows, city, country, population FROM fields",
     "p2_terms": _TERMS + " SELECT field_name, term, occurrences, records, mark FROM marked",
 }

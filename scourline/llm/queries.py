@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .layout import layout_duplicates, layout_records
 from .lookalike import consistent_form, look_alike_matches
+from .quantiles import disagreeing_parts, quantile_sketches, sketch_quantiles
+from .survivors import surviving_fields
 from .terms import term_frequencies
 
 
@@ -42,6 +44,39 @@ def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_form(_table(spark, sf_dir, "demo_city"), "city", ["row_id", "city"]).select("row_id", "city", "form", "key")
 
 
+def _stated_populations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of demo_city with a population whose country is spelled as in ref_countries."""
+    rows = _table(spark, sf_dir, "demo_city").where(F.col("population") > 0).select("country", "batch_no", "population")
+    return rows.join(_table(spark, sf_dir, "ref_countries").select("country").distinct(), "country", "left_semi")
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return disagreeing_parts(_stated_populations(spark, sf_dir), "country", "batch_no", "population")
+
+
+def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sketches = quantile_sketches(_stated_populations(spark, sf_dir), ["country"], "population")
+    return sketch_quantiles(sketches, ["country"], [0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999])
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranks = _table(spark, sf_dir, "feeds").groupBy("feed").agg(F.min("trust_rank").alias("trust_rank"))
+    rows = _table(spark, sf_dir, "demo_city").select("row_id", "entry_no", "feed", "city", "country", "population", "recorded_at")
+    order = [F.col("trust_rank"), -F.unix_micros(F.col("recorded_at").cast("timestamp"))]
+    return surviving_fields(rows.join(ranks, "feed", "left"), "entry_no", "row_id", ["city", "country", "population"], order)
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = ["city_row_id", "country_row_id", "population_row_id"]
+    return _survivors(spark, sf_dir).dropna(subset=ids).select("entry_no", *ids)
+
+
+def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _survivors(spark, sf_dir).select(
+        "entry_no", "n_rows", "city", "country", F.col("population").cast("int").alias("population")
+    )
+
+
 def queries() -> dict:
     own = globals()
     return {name: own[name] for name in sorted(own) if name[:1] == "p" and name[1:2].isdigit()}

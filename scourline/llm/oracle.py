@@ -77,5 +77,15 @@ SELECT p.country, p.batch_no FROM parts p JOIN whole w USING (country) WHERE p.m
     + """ SELECT entry_no, city_row_id, country_row_id, population_row_id FROM fields
 WHERE city_row_id IS NOT NULL AND country_row_id IS NOT NULL AND population_row_id IS NOT NULL""",
     "p5_records": _SURVIVORS + " SELECT entry_no, n_rows, city, country, population FROM fields",
+    "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p8_found": """
+WITH texts AS (
+  SELECT doc_id, NULL AS item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT NULL, item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') FROM eval_items
+), runs AS (
+  SELECT doc_id, item_id, hash(array_to_string(w[i : i + 12], ' ')) AS run FROM texts, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i)
+)
+SELECT DISTINCT d.doc_id, e.item_id FROM runs d JOIN runs e USING (run) WHERE d.doc_id IS NOT NULL AND e.item_id IS NOT NULL""",
     "p2_terms": _TERMS + " SELECT field_name, term, occurrences, records, mark FROM marked",
 }

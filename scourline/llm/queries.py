@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .layout import layout_duplicates, layout_records
+from .leakage import leaked_items
 from .lookalike import consistent_form, look_alike_matches
+from .packing import containers, pack
 from .quantiles import disagreeing_parts, quantile_sketches, sketch_quantiles
 from .survivors import surviving_fields
 from .terms import term_frequencies
@@ -77,6 +79,24 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packed = pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
+    return packed.where((F.col("parts") > 1) & (F.col("part") == 0)).select("doc_id")
+
+
+def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return containers(pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text")))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_passages(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
+
+
+def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "eval_items")
+    return leaked_items(docs, "doc_id", "text", items, "item_id", "text")
+
+
 def queries() -> dict:
     own = globals()
     return {name: own[name] for name in sorted(own) if name[:1] == "p" and name[1:2].isdigit()}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .canonical import canonical_places
 from .layout import layout_duplicates, layout_records
 from .leakage import leaked_items
 from .lookalike import consistent_form, look_alike_matches
@@ -79,6 +80,11 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places, countries = _table(spark, sf_dir, "ref_places"), _table(spark, sf_dir, "ref_countries")
+    return canonical_places(_table(spark, sf_dir, "demo_city"), "row_id", places, countries)
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
     return packed.where((F.col("parts") > 1) & (F.col("part") == 0)).select("doc_id")

@@ -92,15 +92,19 @@ def edits(a: str, b: str) -> int:
     return last[-1]
 
 
+#: Edits beyond which two texts are different names whatever their length.
+MOST_EDITS = 3
+
+
 def alike(a: str, b: str, least: float) -> float:
-    """Share of letters that needn't be edited; 0 if that is under ``least`` or a short text differs."""
+    """Share of letters that needn't be edited; 0 if it is under ``least``, or at MOST_EDITS + 1 edits, or if a short text differs."""
     if a == b:
         return 1.0
     size = max(len(a), len(b))
-    if size < 5 or 1 - abs(len(a) - len(b)) / size < least:
+    if size < 5 or 1 - abs(len(a) - len(b)) / size < least or abs(len(a) - len(b)) > MOST_EDITS:
         return 0.0
-    share = 1 - edits(a, b) / size
-    return share if share >= least else 0.0
+    needed = edits(a, b)
+    return 1 - needed / size if needed <= MOST_EDITS and 1 - needed / size >= least else 0.0
 
 
 def _token(gram: str) -> int:
@@ -201,7 +205,7 @@ def _keep_best(scoped: float, open_: float, least_edit: float):
 
 def map_values(
     values: DataFrame, entries: DataFrame, scoped: float = 0.25, open_: float = 0.4,
-    least_edit: float = 0.64, affixes: list[str] | None = None,
+    least_edit: float = 0.66, affixes: list[str] | None = None,
 ) -> DataFrame:
     """(value, scope, ref_id, jaccard) for the distinct ``values`` (value, scope) that have an entry.
 
@@ -211,7 +215,7 @@ def map_values(
     set are ordered by global rarity, only rare prefixes are joined, candidates pass length and
     positional filters and the Jaccard similarity is verified exactly: it must reach ``scoped`` (with
     a scope) or ``open_``. Of these the entry is kept that needs the smallest share of letters edited,
-    at most 1 - ``least_edit``; on ties that of the highest similarity, then the smallest ref_id.
+    at most 1 - ``least_edit`` and MOST_EDITS edits; on ties that of the highest similarity, then the smallest ref_id.
     Texts under five letters must be equal.
 
     Values without a letter or digit and null values have no entry; an empty list maps nothing.

@@ -11,6 +11,7 @@ from .leakage import leaked_items
 from .lookalike import consistent_form, look_alike_matches
 from .packing import containers, pack
 from .quantiles import disagreeing_parts, quantile_sketches, sketch_quantiles
+from .subjects import subject_areas
 from .survivors import surviving_fields
 from .terms import term_frequencies
 
@@ -103,6 +104,11 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = subject_areas(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "doc_labels"))
+    return found.select("doc_id", "subject").distinct()
+
+
 def queries() -> dict:
     own = globals()
     return {name: own[name] for name in sorted(own) if name[:1] == "p" and name[1:2].isdigit()}

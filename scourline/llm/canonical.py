@@ -140,47 +140,64 @@ def _prefix(key: str, least: float, rarity: np.ndarray) -> tuple[list[int], int]
     return tokens[: len(tokens) - math.ceil(least * len(tokens) - 1e-9) + 1], len(tokens)
 
 
-def _prefixes(shared, scoped: float, open_: float, affixes: frozenset[str] | None):
-    """(id, key or text, scope) to one row for each prefix token; texts give keys if there are affixes."""
+def _value_keys(affixes: frozenset[str]):
+    """(vid, value, scope) to one row for each key of the value."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [keys_of(v, affixes) for v in batch.column(1).to_pylist()]
+            at = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            flat = pa.array([k for own in keys for k in own], pa.string())
+            scope = batch.column(2).fill_null(0)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), flat, scope.take(at)], names=["vid", "key", "scope"])
+
+    return run
+
+
+def _prefixes(shared, scoped: float, open_: float):
+    """Rows whose second last columns are (key, scope) to one row for each prefix token of the key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
-        types = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32())
         for batch in batches:
-            out = []
-            for own, text, scope in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for key in [text] if affixes is None else keys_of(text, affixes):
-                    tokens, size = _prefix(key, scoped if scope else open_, rarity)
-                    out += [(own, key, scope or 0, t, p, size) for p, t in enumerate(tokens)]
-            if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)],
-                    names=["id", "key", "scope", "token", "place", "size"],
-                )
+            found = [
+                _prefix(key, scoped if scope else open_, rarity)
+                for key, scope in zip(batch.columns[-2].to_pylist(), batch.columns[-1].to_pylist(), strict=True)
+            ]
+            widths = [len(t) for t, _ in found]
+            at = pa.array(np.repeat(np.arange(len(found)), widths))
+            columns = [
+                pa.array([x for t, _ in found for x in t], pa.int64()),
+                pa.array([p for n in widths for p in range(n)], pa.int32()),
+                pa.array(np.repeat([n for _, n in found], widths), pa.int32()),
+            ]
+            yield pa.RecordBatch.from_arrays([*[c.take(at) for c in batch.columns], *columns], names=[*batch.schema.names, "token", "place", "size"])
 
     return run
 
 
 def _keep_best(scoped: float, open_: float, least_edit: float):
-    """Over candidates (vid, key, scope, ref_id, ref_key) sorted by vid: the closest entry of each."""
+    """Over candidates (key, scope, ref_id, ref_key) sorted by (key, scope): the closest entry of each key."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, best, seen, done = None, None, set(), []
 
         def out() -> pa.RecordBatch:
-            vid, ref, score = zip(*done, strict=True)
-            return pa.RecordBatch.from_arrays([pa.array(vid, pa.int64()), pa.array(ref, pa.int64()), pa.array(score, pa.float64())], names=["vid", "ref_id", "jaccard"])
+            types = (pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+            columns = [pa.array(x, t) for x, t in zip(zip(*done, strict=True), types, strict=True)]
+            return pa.RecordBatch.from_arrays(columns, names=["key", "scope", "ref_id", "jaccard", "share"])
 
         for batch in batches:
-            for vid, key, scope, ref, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                if vid != last:
+            for key, scope, ref, other in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if (key, scope) != last:
                     if best is not None:
-                        done.append((last, -best[2], best[1]))
-                    last, best, seen = vid, None, set()
-                if (key, ref, other) in seen:
+                        done.append((*last, -best[2], best[1], best[0]))
+                    last, best, seen = (key, scope), None, set()
+                    a = grams(key)
+                if (ref, other) in seen:
                     continue
-                seen.add((key, ref, other))
-                a, b = grams(key), grams(other)
+                seen.add((ref, other))
+                b = grams(other)
                 both = len(a & b)
                 score = both / (len(a) + len(b) - both)
                 if score < (scoped if scope else open_):
@@ -196,15 +213,31 @@ def _keep_best(scoped: float, open_: float, least_edit: float):
                 yield out()
                 done.clear()
         if best is not None:
-            done.append((last, -best[2], best[1]))
+            done.append((*last, -best[2], best[1], best[0]))
         if done:
             yield out()
 
     return run
 
 
+def _closest(keys: DataFrame, entries: DataFrame, shared, scoped: float, open_: float, least_edit: float) -> DataFrame:
+    """The closest entry of each distinct (key, scope), by a prefix-filter join at one pair of thresholds."""
+    tokens = "token long, place int, size int"
+    left = map_in_arrow(keys.select("key", "scope"), _prefixes(shared, scoped, open_), f"key string, scope long, {tokens}")
+    right = map_in_arrow(entries.select("ref_id", "key", "scope"), _prefixes(shared, scoped, open_), f"ref_id long, key string, scope long, {tokens}")
+    right = right.withColumnsRenamed({"key": "ref_key", "place": "_place", "size": "_size"})
+    least = F.when(F.col("scope") != 0, scoped).otherwise(open_)
+    long_enough = (F.col("size") >= least * F.col("_size") - 1e-9) & (F.col("_size") >= least * F.col("size") - 1e-9)
+    common = 1 + F.least(F.col("size") - F.col("place") - 1, F.col("_size") - F.col("_place") - 1)
+    # holds for the first token two keys share in the order of rarity, so no pair is lost
+    reachable = common >= least / (1 + least) * (F.col("size") + F.col("_size")) - 1e-9
+    candidates = left.join(right, ["scope", "token"]).where(long_enough & reachable).select("key", "scope", "ref_id", "ref_key")
+    sorted_ = candidates.repartition("key", "scope").sortWithinPartitions("key", "scope")
+    return map_in_arrow(sorted_, _keep_best(scoped, open_, least_edit), "key string, scope long, ref_id long, jaccard double, share double")
+
+
 def map_values(
-    values: DataFrame, entries: DataFrame, scoped: float = 0.25, open_: float = 0.4,
+    values: DataFrame, entries: DataFrame, scoped: tuple[float, ...] = (0.5, 0.25), open_: tuple[float, ...] = (0.5, 0.4),
     least_edit: float = 0.66, affixes: list[str] | None = None,
 ) -> DataFrame:
     """(value, scope, ref_id, jaccard) for the distinct ``values`` (value, scope) that have an entry.
@@ -213,12 +246,14 @@ def map_values(
     compared to entries of that scope, one without (null) to all. Both become sets of pairs of
     letters, without letter case, accents, look-alikes, white space and punctuation; the tokens of a
     set are ordered by global rarity, only rare prefixes are joined, candidates pass length and
-    positional filters and the Jaccard similarity is verified exactly: it must reach ``scoped`` (with
-    a scope) or ``open_``. Of these the entry is kept that needs the smallest share of letters edited,
-    at most 1 - ``least_edit`` and MOST_EDITS edits; on ties that of the highest similarity, then the smallest ref_id.
-    Texts under five letters must be equal.
+    positional filters and the Jaccard similarity is verified exactly: it must reach the first
+    threshold of ``scoped`` (with a scope) or ``open_``, and what has no entry there the next one. Of
+    these the entry is kept that needs the smallest share of letters edited, at most 1 - ``least_edit``
+    and MOST_EDITS edits; on ties that of the highest similarity, then the smallest ref_id. Texts under
+    five letters must be equal.
 
     Values without a letter or digit and null values have no entry; an empty list maps nothing.
+    Values that differ in layout only are one key and are joined once.
     """
     spark = values.sparkSession
     words = frozenset(AFFIXES if affixes is None else affixes)
@@ -227,27 +262,20 @@ def map_values(
         "canonical-values",
     )
     listed = entries.where("text is not null and ref_id is not null").select(F.col("ref_id").cast("long"), F.col("text").cast("string"), F.col("scope").cast("long"))
-    keys = stage(map_in_arrow(listed, _entry_keys, "ref_id long, key string, scope long").distinct(), "canonical-entries")
+    known = stage(map_in_arrow(listed, _entry_keys, "ref_id long, key string, scope long").distinct(), "canonical-entries")
     rarity = np.zeros(RARITY_BUCKETS, np.int64)
-    counts = map_in_arrow(keys, _entry_tokens, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+    counts = map_in_arrow(known, _entry_tokens, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
     for bucket, n in counts.collect():  # at most RARITY_BUCKETS rows
         rarity[bucket] = n
     shared = spark.sparkContext.broadcast(rarity)
-    schema = "id long, key string, scope long, token long, place int, size int"
-    left = map_in_arrow(named.select("vid", "value", "scope"), _prefixes(shared, scoped, open_, words), schema)
-    right = map_in_arrow(keys, _prefixes(shared, scoped, open_, None), schema).select(
-        F.col("id").alias("ref_id"), F.col("key").alias("ref_key"), "scope", "token", F.col("place").alias("_place"), F.col("size").alias("_size")
-    )
-    least = F.when(F.col("scope") != 0, scoped).otherwise(open_)
-    long_enough = (F.col("size") >= least * F.col("_size") - 1e-9) & (F.col("_size") >= least * F.col("size") - 1e-9)
-    common = 1 + F.least(F.col("size") - F.col("place") - 1, F.col("_size") - F.col("_place") - 1)
-    reachable = common >= least / (1 + least) * (F.col("size") + F.col("_size")) - 1e-9
-    # a token is the first that two keys share in rarity order only for one pair of places; the
-    # bound holds for that one, so no pair is lost
-    candidates = left.join(right, ["scope", "token"]).where(long_enough & reachable)
-    sorted_ = candidates.select(F.col("id").alias("vid"), "key", "scope", "ref_id", "ref_key").repartition("vid").sortWithinPartitions("vid")
-    best = map_in_arrow(sorted_, _keep_best(scoped, open_, least_edit), "vid long, ref_id long, jaccard double")
-    return named.join(best, "vid").select("value", "scope", "ref_id", "jaccard")
+    keyed = stage(map_in_arrow(named.select("vid", "value", "scope"), _value_keys(words), "vid long, key string, scope long"), "canonical-keys")
+    left, found = keyed.select("key", "scope").distinct(), None
+    for a, b in zip(scoped, open_, strict=True):
+        step = stage(_closest(left, known, shared, a, b, least_edit), "canonical-closest")
+        found = step if found is None else found.unionByName(step)
+        left = left.join(step.select("key", "scope"), ["key", "scope"], "left_anti")
+    best = keyed.join(found, ["key", "scope"]).groupBy("vid").agg(F.max(F.struct("share", "jaccard", (-F.col("ref_id")).alias("ref"))).alias("b"))
+    return named.join(best, "vid").select("value", "scope", (-F.col("b.ref")).alias("ref_id"), F.col("b.jaccard").alias("jaccard"))
 
 
 def _missing_flags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,16 +318,16 @@ def canonical_places(
     none = F.lit(None).cast("long").alias("scope")
 
     odd_countries = pairs.where("not no_country and exact_country is null").select(F.col("country").alias("value"), none).distinct()
-    known = stage(map_values(odd_countries, country_entries, open_=0.25, affixes=COUNTRY_AFFIXES), "canonical-countries")
+    known = stage(map_values(odd_countries, country_entries, open_=(0.5, 0.25), affixes=COUNTRY_AFFIXES), "canonical-countries")
     known = known.select(F.col("value").alias("country"), F.col("ref_id").alias("odd_country"))
     pairs = pairs.join(known, "country", "left").withColumn("country_ref", F.coalesce("exact_country", "odd_country"))
     pairs = stage(pairs, "canonical-pairs-known")
 
     # values that have changed places
     strangers = pairs.where("not no_country and country_ref is null and not no_city and city_ok is null")
-    as_place = map_values(strangers.select(F.col("country").alias("value"), none).distinct(), place_entries, open_=0.6)
+    as_place = map_values(strangers.select(F.col("country").alias("value"), none).distinct(), place_entries, scoped=(0.6,), open_=(0.6,))
     maybe = stage(strangers.join(as_place.select(F.col("value").alias("country")).distinct(), "country", "left_semi"), "canonical-strangers")
-    as_country = map_values(maybe.select(F.col("city").alias("value"), none).distinct(), country_entries, open_=0.4, affixes=COUNTRY_AFFIXES)
+    as_country = map_values(maybe.select(F.col("city").alias("value"), none).distinct(), country_entries, scoped=(0.5,), open_=(0.5,), affixes=COUNTRY_AFFIXES)
     swapped = maybe.join(as_country.select(F.col("value").alias("city")), "city", "left_semi").select("city", "country", F.lit(True).alias("swapped"))
 
     odd_cities = pairs.where("not no_city and city_ok is null").select(F.col("city").alias("value"), F.col("country_ref").alias("scope")).distinct()

@@ -1 +1 @@
-"""functions"""
+"""Column functions: pure Column -> Column, evaluated in the JVM unless said otherwise."""

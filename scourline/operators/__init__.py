@@ -1 +1 @@
-"""operators"""
+"""Operators: DataFrame -> DataFrame."""

@@ -1 +1 @@
-"""streaming"""
+"""Cleaning of streams."""

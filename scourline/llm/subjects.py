@@ -16,7 +16,7 @@ from .storage import stage
 from .words import chunks
 
 #: Labelled documents that the model is fitted on, the first by hashed id.
-MAX_LABELLED = 20_000
+MAX_LABELLED = 4_000
 #: Terms of the model, the ones in most documents.
 MAX_TERMS = 1 << 16
 #: Documents that must contain a term of the model.

@@ -52,7 +52,7 @@ def mlipns(a: Column, b: Column) -> Column:
     hit = size == 0
     for m in range(MLIPNS_MISMATCHES + 1):
         hit = hit | (size <= m) | (wrong - m <= MLIPNS_SHARE * (size - m))
-    return F.when(hit, 1.0).otherwise(0.0)
+    return F.when(a.isNotNull() & b.isNotNull(), F.when(hit, 1.0).otherwise(0.0))
 
 
 def levenshtein(a: Column, b: Column) -> Column:

@@ -41,8 +41,11 @@ def read_csv(spark: SparkSession, path: str, sep: str = ",", header: str | bool
 
 
 def load_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV file with a header, types inferred, malformed lines dropped."""
-    return spark.read.options(header=True, inferSchema=True, mode="DROPMALFORMED").csv(path)
+    """A CSV file with a header, types inferred, malformed lines dropped.
+
+    Lines are parsed whole, so that the same ones are dropped whichever columns are read.
+    """
+    return spark.read.options(header=True, inferSchema=True, mode="DROPMALFORMED", columnPruning=False).csv(path)
 
 
 def read_json(spark: SparkSession, path: str, schema: Any = None) -> DataFrame:

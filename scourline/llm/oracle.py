@@ -1,5 +1,7 @@
 """SQL that gives the same rows as the queries, written for DuckDB over the same tables."""
 
+from .lookalike import form_sql
+
 _SKIP = r"[\s\x0b\x1c-\x1f\x85\p{Z}\p{P}$+<=>^`|~]+"
 _BREAK = r"[\t-\r !-/:-@\[-`{-~]+"
 
@@ -58,7 +60,23 @@ WITH rows AS (
   FROM rows WHERE entry_no IS NOT NULL GROUP BY entry_no HAVING count(*) > 1
 )"""
 
+def _forms(source: str, columns: str, text: str) -> str:
+    """SQL of the keys of a column, with the translations of the operator."""
+    return form_sql().replace("FROM batch)", f"FROM (SELECT struct_pack({columns}) AS i, {text} AS v FROM {source}))").replace(" ORDER BY i", "").replace(
+        "SELECT s AS form", "SELECT i, s AS form"
+    )
+
+
+_LOOK_ALIKES = f"""
+WITH cities AS (SELECT * FROM ({_forms('demo_city', 'row_id := row_id, country := country', 'city')}) WHERE key <> ''),
+places AS (SELECT * FROM ({_forms('ref_places', 'place_id := place_id, country := country', 'city')}) WHERE key <> ''),
+cases AS (SELECT c.i AS row, p.i AS place, p.key FROM cities c JOIN places p ON p.key = c.key OR p.key = c.other_key
+          WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.key = p.key AND q.plain = c.plain))
+SELECT DISTINCT row.row_id AS row_id, arg_min(place.place_id, [levenshtein(lower(trim(coalesce(row.country, ''), ' ')), lower(place.country)), place.place_id]) AS place_id
+FROM cases GROUP BY row, key"""
+
 ORACLE = {
+    "p3_found": _LOOK_ALIKES,
     "p1_found": _LAYOUT + " SELECT first_row_id, row_id AS copy_row_id FROM sets WHERE row_id <> first_row_id",
     "p1_records": _LAYOUT
     + """, counts AS (SELECT first_row_id, count(*) AS n FROM sets GROUP BY 1)

@@ -299,23 +299,26 @@ def disagreeing_parts(
     parts and, merged, of the groups; only where the error bounds leave a case open are the exact
     medians of that part and its group computed. A median is the mean of the two middle values.
     """
-    rows = df.where(F.col(group).isNotNull() & F.col(part).isNotNull())
-    parts = stage(quantile_sketches(rows, [group, part], value, k), "quantile-parts")
-    whole = sketch_medians(merge_sketches(parts, [group]), [group]).withColumnsRenamed(
+    rows = df.where(F.col(group).isNotNull() & F.col(part).isNotNull()).select(
+        F.col(group).alias("_group"), F.col(part).alias("_part"), F.col(value).cast("double").alias("_value")
+    )
+    names = {"_group": group, "_part": part}
+    parts = stage(quantile_sketches(rows, ["_group", "_part"], "_value", k), "quantile-parts")
+    whole = sketch_medians(merge_sketches(parts, ["_group"]), ["_group"]).withColumnsRenamed(
         {"n": "_n", "median_lo": "_lo", "median_hi": "_hi"}
     )
     medians = stage(
-        sketch_medians(parts, [group, part]).where(F.col("n") >= least_rows).join(whole, group), "quantile-medians"
+        sketch_medians(parts, ["_group", "_part"]).where(F.col("n") >= least_rows).join(whole, "_group"), "quantile-medians"
     )
     above = F.col("median_lo") > factor * F.col("_hi")
     below = F.col("median_hi") < F.col("_lo") / factor
     never = (F.col("median_hi") <= factor * F.col("_lo")) & (F.col("median_lo") >= F.col("_hi") / factor)
-    found = medians.where(above | below).select(group, part)
+    found = medians.where(above | below).select("_group", "_part")
     open_ = medians.where(~(above | below) & ~never)
     if open_.isEmpty():
-        return found
-    own = exact_medians(rows, [group, part], value, open_)
-    wholes = open_.select(group, F.col("_n").alias("n"), F.col("_lo").alias("median_lo"), F.col("_hi").alias("median_hi")).distinct()
-    all_ = exact_medians(rows, [group], value, wholes).withColumnRenamed("median", "_whole")
+        return found.withColumnsRenamed(names)
+    own = exact_medians(rows, ["_group", "_part"], "_value", open_)
+    wholes = open_.select("_group", F.col("_n").alias("n"), F.col("_lo").alias("median_lo"), F.col("_hi").alias("median_hi")).distinct()
+    all_ = exact_medians(rows, ["_group"], "_value", wholes).withColumnRenamed("median", "_whole")
     off = (F.col("median") > factor * F.col("_whole")) | (F.col("median") < F.col("_whole") / factor)
-    return found.unionByName(own.join(all_, group).where(off).select(group, part))
+    return found.unionByName(own.join(all_, "_group").where(off).select("_group", "_part")).withColumnsRenamed(names)

@@ -1,56 +1,5 @@
-"""Tables written between the steps of an operator.
+"""Tables written between the steps of an operator."""
 
-Operators that use an intermediate result twice write it as Parquet into the shared folder named by
-``spark.checkpoint.dir``, so that a lost executor costs no recomputation and both readers see the
-same rows. Where the setting is missing (tests on one machine) a temporary folder is used.
-"""
+from ..storage import stage
 
-from __future__ import annotations
-
-import atexit
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_own_folder: str | None = None
-_written: list[tuple[SparkSession, str]] = []
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; an own one only where none is configured."""
-    global _own_folder
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.sparkContext.master
-    if not master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    if _own_folder is None:
-        _own_folder = tempfile.mkdtemp(prefix="scourline-")
-        spark.sparkContext.setCheckpointDir(_own_folder)
-    return f"file://{_own_folder}"
-
-
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` into the shared folder and return a frame that reads it back."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/scourline/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    _written.append((spark, path))
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def remove_staged() -> None:
-    """Delete everything that stage() wrote; results that still read it become invalid."""
-    while _written:
-        spark, path = _written.pop()
-        try:
-            jvm = spark.sparkContext._jvm
-            target = jvm.org.apache.hadoop.fs.Path(path)
-            target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-        except Exception:  # the session may be gone at exit
-            pass
-
-
-atexit.register(remove_staged)
+__all__ = ["stage"]

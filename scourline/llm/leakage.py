@@ -124,11 +124,20 @@ def _runs(rows, p, item, q) -> Iterator[tuple[int, int, int, int, int]]:
         yield int(rows[lo]), int(item[lo]), int(p[lo]), int(q[lo]), int(p[hi - 1] - p[lo]) + 1
 
 
-def _consistent(ours: list[bytes], theirs: list[bytes]) -> bool:
-    """Whether one value in the item always stands for one value in the document and the other way."""
-    forth: dict[bytes, bytes] = {}
-    back: dict[bytes, bytes] = {}
-    return all(forth.setdefault(a, b) == b and back.setdefault(b, a) == a for a, b in zip(theirs, ours, strict=True))
+def consistent_stretch(ours: list[bytes], theirs: list[bytes]) -> tuple[int, int]:
+    """(begin, end) of the longest stretch in which values stand for each other one to one."""
+    forth: dict[bytes, tuple[bytes, int]] = {}
+    back: dict[bytes, tuple[bytes, int]] = {}
+    begin, best = 0, (0, 0)
+    for k, (a, b) in enumerate(zip(theirs, ours, strict=True)):
+        for table, x, y in ((forth, a, b), (back, b, a)):
+            other, at = table.get(x, (y, -1))
+            if other != y:
+                begin = max(begin, at + 1)
+            table[x] = (y, k)
+        if k + 1 - begin > best[1] - best[0]:
+            best = (begin, k + 1)
+    return best
 
 
 def _search(shared):
@@ -173,10 +182,11 @@ def _search(shared):
                             longest, end = run_, k + 1
                     if longest >= width:
                         kind, size, begin = 1, longest, a + end - longest
-                    elif _consistent(ours, theirs):
-                        kind, size, begin = 0, length, a
                     else:
-                        continue
+                        first, last = consistent_stretch(ours, theirs)
+                        if last - first < width:
+                            continue
+                        kind, size, begin = 0, last - first, a + first
                     value = (kind, size, -int(begin - firsts[row]))
                     if value > best.get((row, n), (-1,)):
                         best[row, n] = value
@@ -201,7 +211,7 @@ def leaked_items(
     become typed placeholders; documents and items are joined on the hashes of windows of ``width``
     template words, and matching windows that follow each other are one passage. ``kind`` is
     'verbatim' if ``width`` or more consecutive words of the passage are the same, compared as text; 'other
-    values' if the passage only differs in placeholders that stand for each other consistently.
+    values' if ``width`` or more words only differ in placeholders that stand for each other one to one.
     Windows with few words besides placeholders must match verbatim. For each document and item the
     verbatim, then longest, then first passage is given; ``first_word`` counts from 0.
 

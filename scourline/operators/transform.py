@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from ..functions import text as X
 from ..functions.columns import columns_of_type, family, quoted, resolve_columns
-from ..storage import cut_lineage
+from ..storage import cut_lineage, stage
 
 #: Entries of a lookup from which it becomes a join instead of an expression.
 LOOKUP_EXPRESSION_SIZE = 500
@@ -132,20 +132,22 @@ def add_primary_key(df: DataFrame, name: str = "id", function: Callable[[], Colu
 def add_ordered_key(df: DataFrame, order: list[str | Column], name: str = "id") -> DataFrame:
     """Ids 0, 1, 2, ... in the given order, with ties in the order of arrival.
 
-    Rows are range-partitioned and sorted, and numbered by the sizes of the partitions before them,
-    so that no task gets all rows. Runs a job to count the partitions.
+    Rows are range-partitioned, sorted and written to the shared folder with their partition and
+    place, then numbered by the sizes of the partitions before them, so that no task gets all rows
+    and a repeated task can't change the numbers. Runs jobs to write and to count the partitions.
     """
+    at = F.monotonically_increasing_id()
+    part, place = F.shiftright(at, 33), at.bitwiseAND((1 << 33) - 1)
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    ordered = ordered.withColumn("_at", F.monotonically_increasing_id())
-    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
-    counts = ordered.groupBy(part.alias("_part")).count().orderBy("_part").collect()  # one row a partition
+    ordered = stage(ordered.select("*", part.cast("long").alias("#part"), place.alias("#place")), "ordered-key")
+    counts = ordered.groupBy("#part").count().orderBy("#part").collect()  # one row a partition
     before, seen = [], 0
     for r in counts:
-        before.append((int(r["_part"]), seen))
+        before.append((r["#part"], seen))
         seen += r["count"]
-    offsets = df.sparkSession.createDataFrame(before, "_part long, _before long")
-    keyed = ordered.withColumn("_part", part.cast("long")).join(F.broadcast(offsets), "_part")
-    return keyed.select(*[F.col(quoted(c)) for c in df.columns], (row + F.col("_before")).alias(name))
+    offsets = df.sparkSession.createDataFrame(before, "`#part` long, `#before` long")
+    keyed = ordered.join(F.broadcast(offsets), "#part")
+    return keyed.select(*[F.col(quoted(c)) for c in df.columns], (F.col("#place") + F.col("#before")).alias(name))
 
 
 def add_count(df: DataFrame, name: str = "counts", initial: int = 0) -> DataFrame:

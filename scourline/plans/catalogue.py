@@ -322,6 +322,14 @@ def dedup_resolve_city(spark, d):
     return D.resolve(rows, "city", D.key_collision(rows, "city", "row_id"))
 
 
+@query
+def lineitem_fingerprint_resolve(spark, d):
+    name = F.concat(F.col("l_returnflag"), F.col("l_linestatus"), F.lit(" supplier "), F.col("l_suppkey").cast("string"))
+    dirty = F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit(" "), F.upper(name), F.lit("!"))).otherwise(name)
+    rows = table(spark, d, "lineitem").select((F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("line"), dirty.alias("name"))
+    return D.resolve(rows, "name", D.key_collision(rows, "name", "line"))
+
+
 @query
 def cluster_affected_rows(spark, d):
     return D.rows_affected(D.key_collision(_dirty_part(spark, d), "p_name", "p_partkey"))

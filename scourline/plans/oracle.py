@@ -198,6 +198,10 @@ ORACLE: dict[str, str] = {
     "key_collision_city": _clusters("SELECT * FROM demo_city", "city", "row_id") + _CLUSTER_COLUMNS,
     "dedup_resolve_fingerprint": _resolved(_PART, "p_name", "p_partkey"),
     "dedup_resolve_city": _resolved("SELECT * FROM demo_city", "city", "row_id"),
+    "lineitem_fingerprint_resolve": _resolved(
+        """SELECT l_orderkey * 8 + l_linenumber AS line, CASE WHEN l_linenumber % 3 = 0 THEN concat(' ', upper(n), '!') ELSE n END AS name
+        FROM (SELECT *, concat(l_returnflag, l_linestatus, ' supplier ', l_suppkey::VARCHAR) AS n FROM lineitem)""", "name", "line",
+    ),
     "cluster_affected_rows": _clusters(_PART, "p_name", "p_partkey") + " SELECT coalesce(sum(n), 0)::BIGINT AS rows FROM clusters",
     "cluster_preview": _clusters("SELECT * FROM demo_city", "country", "row_id")
     + _CLUSTER_COLUMNS + " WHERE key IN (SELECT key FROM (SELECT DISTINCT key, total FROM clusters) ORDER BY total DESC, key LIMIT 5)",

@@ -97,14 +97,17 @@ MOST_EDITS = 3
 
 
 def alike(a: str, b: str, least: float) -> float:
-    """Share of letters that needn't be edited; 0 if it is under ``least``, or at MOST_EDITS + 1 edits, or if a short text differs."""
+    """Share of letters that needn't be edited; 0 if it is under ``least``, at too many edits, or if a short text differs.
+
+    One edit in five letters is a misspelling, two in six to nine, and MOST_EDITS in longer texts.
+    """
     if a == b:
         return 1.0
     size = max(len(a), len(b))
     if size < 5 or 1 - abs(len(a) - len(b)) / size < least or abs(len(a) - len(b)) > MOST_EDITS:
         return 0.0
     needed = edits(a, b)
-    return 1 - needed / size if needed <= MOST_EDITS and 1 - needed / size >= least else 0.0
+    return 1 - needed / size if needed <= min(MOST_EDITS, (size + 2) // 4) and 1 - needed / size >= least else 0.0
 
 
 def _token(gram: str) -> int:

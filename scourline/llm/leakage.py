@@ -20,8 +20,8 @@ UNITS = [
     "hours", "inches", "kb", "kg", "kilograms", "kilometres", "km", "litres", "mb", "metres", "miles", "minutes", "mm",
     "months", "ms", "percent", "pounds", "seconds", "tonnes", "weeks", "years",
 ]
-#: Items whose windows are joined in one pass; larger sets are taken in blocks of this many.
-BLOCK_ITEMS = 50_000
+#: Items, and characters of their texts, whose windows are joined in one pass; larger sets are taken in blocks.
+BLOCK_ITEMS, BLOCK_CHARS = 50_000, 16_000_000
 #: Words other than placeholders from which a window is looked up as a template.
 LEAST_FIXED = 6
 
@@ -74,11 +74,11 @@ class Templates:
 
 
 def _hash_words(words: list[str]) -> np.ndarray:
-    if not words:
-        return np.zeros(0, np.uint64)
-    _, _, data, offsets = next(chunks(pa.array(words)))
-    folded, begins, ends, _ = find_words(data, offsets)
-    return word_hashes(folded, begins, ends)
+    found = [np.zeros(0, np.uint64)]
+    for _, _, data, offsets in chunks(pa.array(words, pa.string())):
+        folded, begins, ends, _ = find_words(data, offsets)
+        found.append(word_hashes(folded, begins, ends))
+    return np.concatenate(found)
 
 
 def build_templates(ids: list, texts: list[str], width: int, units: list[str] | None = None) -> Templates:
@@ -216,14 +216,15 @@ def leaked_items(
     verbatim, then longest, then first passage is given; ``first_word`` counts from 0.
 
     Null and empty texts, and texts shorter than a window, give nothing; documents are read whole;
-    rows are not shuffled. The windows of the items are broadcast in blocks of BLOCK_ITEMS items, so that what
-    is broadcast is bounded whatever the number of items.
+    rows are not shuffled. The windows of the items are broadcast in blocks of BLOCK_ITEMS items and BLOCK_CHARS
+    characters, so that what is broadcast is bounded whatever the number of items.
     """
     spark = docs.sparkSession
     out = None
     types = dict(docs.dtypes)
     rows = docs.where(F.col(text).isNotNull()).select(F.col(doc_id), F.col(text).cast("string"))
     block: list[tuple] = []
+    held = 0
 
     def search() -> DataFrame:
         shared = spark.sparkContext.broadcast(build_templates([b[0] for b in block], [b[1] for b in block], width))
@@ -232,9 +233,12 @@ def leaked_items(
     wanted = items.where(F.col(item_text).isNotNull() & F.col(item_id).isNotNull())
     for row in wanted.select(F.col(item_id).cast("long"), F.col(item_text).cast("string")).toLocalIterator():
         block.append(tuple(row))
-        if len(block) == BLOCK_ITEMS:
+        if len(block) == BLOCK_ITEMS or held + len(block[-1][1]) >= BLOCK_CHARS:
             out = search() if out is None else out.unionByName(search())
             block.clear()
+            held = 0
+        else:
+            held += len(block[-1][1])
     if block or out is None:
         out = search() if out is None else out.unionByName(search())
     return out.withColumnsRenamed({"doc": doc_id, "item": item_id})

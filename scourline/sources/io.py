@@ -10,7 +10,7 @@ from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..storage import delete
+from ..storage import delete, new_folder
 
 _CHUNK = 8192
 _FOLDER = "checkPointFolder"
@@ -62,7 +62,7 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
 
 
 def download(url: str, folder: str | None = None) -> str:
-    """A copy of what a URL names; its path. The name is what follows the last slash."""
+    """A copy on the driver of what a URL names; its path. The name is what follows the last slash."""
     if not url.startswith(("http://", "https://", "file://")):
         raise ValueError("url must start with http://, https:// or file://")
     target = Path(folder or tempfile.mkdtemp(prefix="scourline-get-")) / (url.rstrip("/").rpartition("/")[2] or "download")
@@ -71,14 +71,24 @@ def download(url: str, folder: str | None = None) -> str:
     return str(target)
 
 
-def read_url(spark: SparkSession, url: str, ty: str = "csv", folder: str | None = None) -> DataFrame:
-    """A CSV or JSON file behind a URL.
+def download_shared(spark: SparkSession, url: str) -> str:
+    """A copy of what a URL names in the folder that all executors share; its path."""
+    local = download(url)
+    target = f"{new_folder(spark, 'download')}/{Path(local).name}"
+    jvm = spark.sparkContext._jvm
+    place = jvm.org.apache.hadoop.fs.Path(target)
+    system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(place.getParent())
+    system.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), place)
+    shutil.rmtree(Path(local).parent)
+    return target
 
-    It is copied to ``folder``, which executors must share on a cluster.
-    """
+
+def read_url(spark: SparkSession, url: str, ty: str = "csv") -> DataFrame:
+    """A CSV or JSON file behind a URL, read from a copy in the shared folder."""
     if ty not in ("csv", "json"):
         raise ValueError("ty must be csv or json")
-    path = f"file://{download(url, folder)}"
+    path = download_shared(spark, url)
     return read_json(spark, path) if ty == "json" else load_csv(spark, path)
 
 
@@ -138,7 +148,7 @@ class ColumnDictionary:
         if (path is None) == (df is None):
             raise ValueError("give a path or a DataFrame")
         if path is not None and path.startswith(("http://", "https://")):
-            path = f"file://{download(path)}"
+            path = download_shared(spark, path)
         self._df = df if path is None else read_csv(spark, path, infer_schema=False)
 
     def set_df(self, df: DataFrame) -> None:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -97,7 +98,9 @@ def term_frequencies(df: DataFrame, fields: list[str], rare_at_most: int = 2, co
     present = df.agg(*[F.count(F.col(c)).alias(f"n{k}") for k, c in enumerate(fields)])
     pairs = ", ".join(f"'{name}', n{k}" for k, name in enumerate(names))
     rows = present.selectExpr(f"stack({len(fields)}, {pairs}) as (field_name, _rows)")  # one row a field
+    # an exact share: a term in just that many rows isn't common
+    bound = F.lit(Decimal(str(common_share))) * F.col("_rows")
     return counted.join(F.broadcast(rows), "field_name").select(
         "field_name", "term", "occurrences", "records",
-        F.when(F.col("occurrences") <= rare_at_most, "rare").when(F.col("records") > common_share * F.col("_rows"), "common").alias("mark"),
+        F.when(F.col("occurrences") <= rare_at_most, "rare").when(F.col("records") > bound, "common").alias("mark"),
     )

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from scourline.llm.terms import term_frequencies
@@ -37,6 +38,12 @@ def test_repeats_in_one_record_and_two_fields(spark):
     assert got == {("x", "a"): (3, 2), ("x", "b"): (1, 1), ("it's", "a"): (1, 1)}
 
 
+@pytest.mark.parametrize("hits, mark", [(3, None), (4, "common")])
+def test_the_share_is_exact(spark, hits, mark):
+    df = spark.range(100).select(F.when(F.col("id") < hits, "hit").otherwise("x").alias("v"))
+    assert [r["mark"] for r in term_frequencies(df, ["v"]).where("term = 'hit'").collect()] == [mark]
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "x string, term string, records long")
     assert term_frequencies(empty, ["x", "term"]).count() == 0

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import string
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -54,13 +56,29 @@ def accent_tables() -> tuple[str, str, dict[str, str]]:
     return "".join([*single, *gone]), "".join(single.values()), several
 
 
-def clear_accents(c: Column) -> Column:
-    """Compatibility decomposition (NFKD) without combining characters; ASCII text is passed on as it is."""
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+_OTHER = r"[^\x00-\x7F]"
+#: Below this code point a small table does; it covers the Latin letters with marks.
+_FAR = 0x370
+
+
+def _decomposed(s: Column) -> Column:
+    """A text with characters other than ASCII, decomposed.
+
+    Most characters become one or none and are translated. The few that become several are looked up
+    once for each distinct one the text holds, Hangul syllables are taken apart by arithmetic.
+    """
     src, dst, several = accent_tables()
     first, middle, last = ("".join(map(chr, r)) for r in (range(0x1100, 0x1113), range(0x1161, 0x1176), range(0x11A8, 0x11C3)))
-    table = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    # one literal, folded into an array when the query is planned
+    keys, values = F.lit("".join(several)), F.split(F.lit("\u0001".join(several.values())), "\u0001")
+    hangul = lambda x: (F.ascii(x) >= _HANGUL[0]) & (F.ascii(x) <= _HANGUL[1])
 
-    def one(x: Column) -> Column:
+    def plain(x: Column) -> Column:
         at = F.ascii(x) - _HANGUL[0]
         tail = at % 28
         jamo = F.concat(
@@ -68,31 +86,54 @@ def clear_accents(c: Column) -> Column:
             F.substr(F.lit(middle), F.floor((at % 588) / 28).cast("int") + 1, F.lit(1)),
             F.when(tail > 0, F.substr(F.lit(last), tail.cast("int"), F.lit(1))).otherwise(""),
         )
-        hangul = (F.ascii(x) >= _HANGUL[0]) & (F.ascii(x) <= _HANGUL[1])
-        return F.when(hangul, jamo).otherwise(F.coalesce(F.try_element_at(table, x), x))
+        return F.when(hangul(x), jamo).otherwise(F.get(values, F.instr(keys, x) - 1))
 
-    expanded = F.array_join(F.transform(F.split(c, ""), one), "")
-    wide = "[" + "".join(several) .replace("\\", "").replace("[", "").replace("]", "") + f"{chr(_HANGUL[0])}-{chr(_HANGUL[1])}]"
-    text = F.when(c.rlike(wide), expanded).otherwise(c)
-    return F.when(c.rlike(r"[^\x00-\x7F]"), F.translate(text, src, dst)).otherwise(c)
+    distinct = F.array_distinct(F.split(F.regexp_replace(s, r"[\x00-\x7F]+", ""), ""))
+    odd = F.filter(distinct, lambda x: (x != "") & (hangul(x) | (F.instr(keys, x) > 0)))
+    return F.translate(F.aggregate(odd, s, lambda text, x: F.replace(text, x, plain(x))), src, dst)
 
 
-def latinize(c: Column) -> Column:
-    """Accents removed and letters without a decomposition written in ASCII; other scripts stay."""
-    out = F.translate(clear_accents(c), *SINGLE_LETTERS)
+def _decomposed_latin(s: Column) -> Column:
+    """The same for a text without characters from _FAR on."""
+    src, dst, several = accent_tables()
+    pairs = [(a, b) for a, b in itertools.zip_longest(src, dst, fillvalue="") if ord(a) < _FAR]
+    gone = [a for a, b in pairs if not b]
+    few = {a: b for a, b in several.items() if ord(a) < _FAR}
+    out = s
+    for a, b in few.items():
+        out = F.replace(out, F.lit(a), F.lit(b))
+    text = F.when(s.rlike(f"[{''.join(few)}]"), out).otherwise(s)
+    return F.translate(text, "".join([a for a, b in pairs if b] + gone), "".join(b for _, b in pairs))
+
+
+def _without_accents(s: Column) -> Column:
+    return F.when(s.rlike(f"[^\\x00-\\x{{{_FAR - 1:x}}}]"), _decomposed(s)).otherwise(_decomposed_latin(s))
+
+
+def clear_accents(c: Column) -> Column:
+    """Compatibility decomposition (NFKD) without combining characters; ASCII text is passed on as it is."""
+    return F.when(c.rlike(_OTHER), _without_accents(c)).otherwise(c)
+
+
+def _latin(s: Column) -> Column:
+    out = F.translate(_without_accents(s), *SINGLE_LETTERS)
     for src, dst in LETTERS:
         out = F.replace(out, F.lit(src), F.lit(dst))
     return out
 
 
+def latinize(c: Column) -> Column:
+    """Accents removed and letters without a decomposition written in ASCII; other scripts stay."""
+    return F.when(c.rlike(_OTHER), _latin(c)).otherwise(c)
+
+
 def fingerprint(c: Column) -> Column:
     """Stripped, lower-cased, without punctuation, each character once in order of appearance, latinized.
 
     Null stays null. Characters are latinized last, so that two of the fingerprint may be equal.
     """
     plain = remove_punctuation(F.lower(strip_spaces(c.cast("string"))))
-    once = F.array_join(F.array_distinct(F.split(plain, "")), "")
-    return F.when(once.rlike(r"[^\x00-\x7F]"), latinize(once)).otherwise(once)
+    return let(F.array_join(F.array_distinct(F.split(plain, "")), ""), latinize)
 
 
 def remove_regex(c: Column, pattern: str) -> Column:

@@ -24,6 +24,14 @@ def value_counts(df: DataFrame, column: str, id_column: str) -> DataFrame:
     return df.where(c.isNotNull()).groupBy(c.alias("value")).agg(F.count(F.lit(1)).alias("n"), F.min(F.col(quoted(id_column))).alias("first"))
 
 
+def _key(value: Column) -> Column:
+    """The fingerprint of a value that isn't null, which Catalyst can tell isn't null either.
+
+    Else a join on it would filter its nulls, at every row instead of every distinct value.
+    """
+    return F.coalesce(fingerprint(value), F.lit(""))
+
+
 def _best(value: Column) -> Column:
     """The most frequent value, of several the one with the smallest first id."""
     return F.max_by(value, F.struct(F.col("n"), (-F.col("first")).alias("f")))
@@ -35,7 +43,7 @@ def key_collision(df: DataFrame, column: str, id_column: str) -> DataFrame:
     One row for each variant; only keys with two or more distinct values are clusters. ``canonical`` is
     the most frequent variant, of several the one that comes first by id. Null values are in no cluster.
     """
-    counts = value_counts(df, column, id_column).withColumn("key", fingerprint(F.col("value")))
+    counts = value_counts(df, column, id_column).withColumn("key", _key(F.col("value")))
     groups = counts.groupBy("key").agg(
         _best(F.col("value")).alias("canonical"), F.max("n").alias("canonical_n"), F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("_variants"),
@@ -57,7 +65,7 @@ def blocked_pairs(
     measure = similarity(method)
     if block_size < 1:
         raise ValueError("block_size must be at least 1")
-    counts = value_counts(df, column, id_column).withColumn("value", F.col("value").cast("string")).withColumn("_key", fingerprint(F.col("value")))
+    counts = value_counts(df, column, id_column).withColumn("value", F.col("value").cast("string")).withColumn("_key", _key(F.col("value")))
     size = F.length("_key")
     cut = F.transform(F.sequence(F.lit(0), F.floor(size / block_size).cast("int") - 1), lambda k: F.substring(F.col("_key"), k * block_size + 1, F.lit(block_size)))
     blocks = F.array_distinct(F.when(size > block_size, cut).otherwise(F.array("_key")))
@@ -117,13 +125,16 @@ def rows_affected(clusters: DataFrame) -> DataFrame:
     return clusters.agg(F.coalesce(F.sum("total"), F.lit(0).cast("long")).alias("rows"))
 
 
+def _filled(columns: list[str]) -> Column:
+    out = F.lit(True)
+    for c in columns:
+        out = out & F.col(quoted(c)).isNotNull()
+    return out
+
+
 def record_key(columns: list[str]) -> Column:
-    """The fingerprints of some columns; null if one of them is null."""
-    parts = [fingerprint(F.col(quoted(c))) for c in columns]
-    filled = parts[0].isNotNull()
-    for p in parts[1:]:
-        filled = filled & p.isNotNull()
-    return F.when(filled, F.array(*parts))
+    """The fingerprints of some columns, '' for nulls; rows with a null are to be left out by _filled."""
+    return F.array(*[_key(F.col(quoted(c))) for c in columns])
 
 
 def record_matching(df: DataFrame, match_columns: list[str], fix_columns: list[str], id_column: str) -> DataFrame:
@@ -135,8 +146,9 @@ def record_matching(df: DataFrame, match_columns: list[str], fix_columns: list[s
     """
     resolve_columns(df, [*match_columns, *fix_columns, id_column])
     cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in fix_columns])
-    long = df.select(record_key(match_columns).alias("key"), F.col(quoted(id_column)).alias("_id"), F.explode(cells).alias("x"))
-    counts = long.where("key is not null").groupBy("key", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    rows = df.where(_filled(match_columns))
+    long = rows.select(record_key(match_columns).alias("key"), F.col(quoted(id_column)).alias("_id"), F.explode(cells).alias("x"))
+    counts = long.groupBy("key", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
     groups = counts.groupBy("key", "column").agg(
         _best(F.col("value")).alias("canonical"), F.max("n").alias("canonical_n"), F.sum("n").alias("total")
     )
@@ -152,7 +164,8 @@ def resolve_records(df: DataFrame, match_columns: list[str], fix_columns: list[s
             for k, c in enumerate(fix_columns)
         ]
     )
-    joined = df.withColumn("_key", record_key(match_columns)).join(wide.withColumnRenamed("key", "_group"), F.col("_key") == F.col("_group"), "left")
+    key = F.when(_filled(match_columns), record_key(match_columns))
+    joined = df.withColumn("_key", key).join(wide.withColumnRenamed("key", "_group"), F.col("_key") == F.col("_group"), "left")
     at = {c: k for k, c in enumerate(fix_columns)}
     return joined.select(
         *[
@@ -165,7 +178,7 @@ def resolve_records(df: DataFrame, match_columns: list[str], fix_columns: list[s
 
 def matched_rows(df: DataFrame, match_columns: list[str], fixes: DataFrame, id_column: str) -> DataFrame:
     """(key, id) of the rows of the groups that have a fix."""
-    keyed = df.select(record_key(match_columns).alias("key"), F.col(quoted(id_column)).alias(id_column))
+    keyed = df.where(_filled(match_columns)).select(record_key(match_columns).alias("key"), F.col(quoted(id_column)).alias(id_column))
     return keyed.join(fixes.select("key").distinct(), "key", "left_semi")
 
 

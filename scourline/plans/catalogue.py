@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import shutil
+import tempfile
 from collections.abc import Callable
 
 from pyspark.ml.functions import vector_to_array
@@ -358,6 +360,12 @@ def resolve_records(spark, d):
     return D.resolve_records(dirty.select("p_partkey", "p_name", "p_brand", "p_size"), ["p_name"], ["p_brand", "p_size"], fixes)
 
 
+@query
+def matched_rows(spark, d):
+    fixes = D.record_matching(_dirty_part(spark, d), ["p_name"], ["p_brand"], "p_partkey")
+    return D.matched_rows(_dirty_part(spark, d), ["p_name"], fixes, "p_partkey").select("p_partkey")
+
+
 @query
 def build_pairs(spark, d):
     return D.build_pairs(table(spark, d, "nation"), ["n_name"], "n_nationkey")
@@ -424,6 +432,20 @@ def fd_repair_greedy_orders(spark, d):
     return I.repair_greedy(orders, [I.Dependency(("o_custkey",), ("o_orderpriority",))])
 
 
+@query
+def replace_sub_df(spark, d):
+    fixes = I.greedy_fixes(_hospital(spark, d), HOSPITAL[0])
+    return P.replace_in_groups(_hospital(spark, d), fixes, ["ZIPCode"], ["City", "State"])
+
+
+@query
+def fd_repair_fixpoint(spark, d):
+    """The left values that still violate the rule after ever more passes: those whose counts tie."""
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderpriority").where("o_orderpriority is not null")
+    rule = I.Dependency(("o_custkey",), ("o_orderpriority",))
+    return I.violations(I.repair_greedy(orders, [rule], passes=4), rule)
+
+
 @query
 def fd_repair_holistic(spark, d):
     return I.repair_holistic(_hospital(spark, d), HOSPITAL, "row_id")
@@ -533,6 +555,39 @@ def csv_to_parquet(spark, d):
     return spark.read.parquet(b)
 
 
+@query
+def parquet_read(spark, d):
+    return io.read_parquet(spark, f"file://{d}/nation.parquet" if d.startswith("/") else f"{d}/nation.parquet")
+
+
+@query
+def create_data_frame(spark, d):
+    return io.create_data_frame(spark, [(1, "a", 0.5), (2, None, 1.5)], ["k", "name", "x"])
+
+
+@query
+def url_csv_read(spark, d):
+    folder = tempfile.mkdtemp(prefix="scourline-url-")
+    table(spark, d, "region").toPandas().to_csv(f"{folder}/region.csv", index=False)
+    out = io.read_url(spark, f"file://{folder}/region.csv")
+    shutil.rmtree(folder)
+    return out
+
+
+@query
+def url_json_read(spark, d):
+    folder = tempfile.mkdtemp(prefix="scourline-url-")
+    io.write_json_array(table(spark, d, "region"), f"{folder}/region.json")
+    out = io.read_url(spark, f"file://{folder}/region.json", "json")
+    shutil.rmtree(folder)
+    return out.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
+
+
+@query
+def checkpointed(spark, d):
+    return P.Cleaner(table(spark, d, "supplier")).lower_case("s_name").check_point().upper_case("s_name").df
+
+
 @query
 def load_demo(spark, d):
     return io.load_demo(spark)

@@ -216,6 +216,7 @@ ORACLE: dict[str, str] = {
         CASE WHEN s.key IS NOT NULL THEN s.canonical::INTEGER ELSE k.p_size END AS p_size FROM keyed k
         LEFT JOIN fixes b ON b.key = k.key AND b."column" = 'p_brand' LEFT JOIN fixes s ON s.key = k.key AND s."column" = 'p_size'""",
     ),
+    "matched_rows": _matching(_PART, ["p_name"], ["p_brand"], "p_partkey", " SELECT p_partkey FROM keyed WHERE key IN (SELECT key FROM fixes)"),
     "build_pairs": """SELECT a.n_name, a.n_nationkey, b.n_name AS _n_name, b.n_nationkey AS _n_nationkey
       FROM nation a JOIN nation b ON a.n_nationkey < b.n_nationkey""",
     "build_pairs_blocked": """SELECT a.s_name, a.s_suppkey, b.s_name AS _s_name, b.s_suppkey AS _s_suppkey
@@ -237,6 +238,9 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
        FROM hospital_like h LEFT JOIN z_fixes z USING (ZIPCode))
       SELECT o.row_id, o.ZIPCode, o.ProviderNumber, {_swap('City', 'p', 'o.City')} AS City, o.State, {_swap('PhoneNumber', 'p', 'o.PhoneNumber')} AS PhoneNumber
       FROM once o LEFT JOIN p_fixes p USING (ProviderNumber)""",
+    "replace_sub_df": _HOSPITAL
+    + f""" SELECT h.row_id, h.ZIPCode, h.ProviderNumber, {_swap('City', 'z', 'h.City')} AS City, {_swap('State', 'z', 'h.State')} AS State, h.PhoneNumber
+       FROM hospital_like h LEFT JOIN z_fixes z USING (ZIPCode)""",
     "fd_repair_greedy_orders": "WITH "
     + _fd("c", "orders", "o_custkey", ["o_orderpriority"])
     + f" SELECT o.o_orderkey, o.o_custkey, {_swap('o_orderpriority', 'c', 'o.o_orderpriority')} AS o_orderpriority FROM orders o LEFT JOIN c_fixes c USING (o_custkey)",
@@ -266,6 +270,11 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
     "csv_roundtrip": "SELECT * FROM nation",
     "json_roundtrip": "SELECT * FROM supplier",
     "csv_to_parquet": "SELECT o_orderkey::INTEGER AS o_orderkey, o_custkey::INTEGER AS o_custkey, o_totalprice FROM orders",
+    "parquet_read": "SELECT * FROM nation",
+    "create_data_frame": "SELECT * FROM (VALUES (1::BIGINT, 'a', 0.5::DOUBLE), (2, NULL, 1.5)) AS t(k, name, x)",
+    "url_csv_read": "SELECT * FROM region",
+    "url_json_read": "SELECT * FROM region",
+    "checkpointed": "SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey, s_acctbal FROM supplier",
     "load_demo": """SELECT * FROM (VALUES ('Bogota', 'Colombia', 37800000), ('New York', 'America', 9795791), ('   São Paulo', 'Brazil', 12341418),
       ('~Madrid', 'Spain', 6489162), ('New York', 'America', 19795791), ('New York  ', 'Amarica', 19795791), ('Bogotá', 'Colombia', 37800000)) AS t(city, country, population)""",
     "column_dictionary": "SELECT n_nationkey, n_name AS nation, n_regionkey::DOUBLE AS region FROM nation",

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from scourline import Cleaner, ConstraintCorrector, Dependency, parse_rules
@@ -59,6 +61,17 @@ def test_more_passes_leave_no_more_violations(spark):
     assert I.violations(I.repair_greedy(df, fd, passes=9), fd[0]).count() == 0
 
 
+def test_repair_never_adds_violations(spark):
+    rng = random.Random(4)
+    for _ in range(5):
+        rows = [(k, rng.randrange(6), rng.choice("abc"), rng.choice("xy")) for k in range(60)]
+        df = spark.createDataFrame(rows, "id long, k int, v string, w string")
+        fd = Dependency(("k",), ("v",))
+        before = {r.k: r.num for r in I.violations(df, fd).collect()}
+        after = {r.k: r.num for r in I.violations(I.repair_greedy(df, [fd]), fd).collect()}
+        assert all(n <= before[k] for k, n in after.items())
+
+
 def test_nulls(spark):
     df = spark.createDataFrame([(0, None, "a"), (1, None, "b"), (2, 1, None), (3, 1, "x"), (4, 1, "x")], "id long, k int, v string")
     fd = Dependency(("k",), ("v",))

@@ -25,8 +25,10 @@ LEAST_DOCUMENTS = 3
 EM_STEPS = 2
 #: Pseudo-documents of the complement that hold a term.
 SMOOTHING = 0.5
-#: Log-odds that a term must exceed to speak for a subject at all.
-LEAST_CONTRAST = 1.5
+#: Fits of the calibration, and how far a label may be from one before the next leaves it out.
+CALIBRATION_FITS, CLEARLY_WRONG = 3, 0.75
+#: Log-odds from which a term speaks for a subject at all, and from which it casts a whole vote.
+LEAST_CONTRAST, FULL_CONTRAST = 1.5, 3.0
 
 _LETTER = np.zeros(256, np.uint8)  # 1: lower case and bytes of other scripts, 2: upper case
 _LETTER[ord("a") : ord("z") + 1] = 1
@@ -139,7 +141,7 @@ class SubjectModel:
     def __init__(self, subjects: list[str]) -> None:
         self.subjects = subjects
         self.contrast = np.zeros((len(subjects), 0), np.float32)
-        self.calibration = np.zeros(4)
+        self.calibration = np.zeros(2)
 
     def fit_terms(self, counts: np.ndarray, documents: np.ndarray, total: np.ndarray, all_documents: float) -> None:
         """From documents (weights) of each subject holding each term, and of all documents.
@@ -154,40 +156,50 @@ class SubjectModel:
         self.contrast = np.log(own / rest).astype(np.float32)
 
     def evidence(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        """What the terms of each document say for each subject: the sum of contrasts beyond LEAST_CONTRAST."""
-        gain = np.maximum(self.contrast - LEAST_CONTRAST, 0).T
+        """Votes of the terms of each document for each subject.
+
+        A term casts at most one vote, so that evidence takes several terms, not one very strong one.
+        """
+        votes = np.clip((self.contrast - LEAST_CONTRAST) / (FULL_CONTRAST - LEAST_CONTRAST), 0, 1).T
         total = np.zeros((len(flat) + 1, len(self.subjects)))
-        np.cumsum(gain[flat], axis=0, out=total[1:])
+        np.cumsum(votes[flat], axis=0, out=total[1:])
         return total[cuts[1:]] - total[cuts[:-1]]
 
-    @staticmethod
-    def signs(evidence: np.ndarray) -> np.ndarray:
-        """Inputs of the calibration: a constant, how much evidence there is, and its share in the document."""
-        share = evidence / np.maximum(evidence.sum(axis=1, keepdims=True), 1e-9)
-        return np.stack([np.ones_like(evidence), np.log1p(evidence), share, np.sqrt(share)], axis=-1)
-
     def calibrate(self, evidence: np.ndarray, truth: np.ndarray) -> None:
-        """Logistic regression of the labels on the signs, one for all subjects, by damped Newton steps."""
-        x, y = self.signs(evidence).reshape(-1, 4), truth.reshape(-1).astype(float)
-        mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
-        mean[0], scale[0] = 0, 1
-        z, beta, penalty = (x - mean) / scale, np.zeros(4), np.array([0, 1, 1, 1]) * 1.0
-        for _ in range(50):
-            p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-            gradient = z.T @ (y - p) - penalty * beta
-            step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), gradient)
-            beta += step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
-            if np.abs(step).max() < 1e-6:
-                break
-        self.calibration = beta / scale
-        self.calibration[0] = beta[0] - (beta[1:] * mean[1:] / scale[1:]).sum()
+        """Logistic regression of the labels on the logarithm of the votes, one for all subjects.
+
+        The share of a subject in a document is no input: every labelled document has a subject, so a
+        large share would speak for one even where next to nothing does. Labels that the fit clearly
+        contradicts are taken for wrong and left out of the next of a few fits.
+        """
+        x, y = np.log1p(evidence).reshape(-1), truth.reshape(-1).astype(float)
+        mean, scale = x.mean(), x.std() + 1e-9
+        z = np.stack([np.ones_like(x), (x - mean) / scale], axis=-1)
+        kept = np.ones(len(y), bool)
+        for _ in range(CALIBRATION_FITS):
+            beta = _logistic(z[kept], y[kept])
+            kept = np.abs(y - 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))) < CLEARLY_WRONG
+        self.calibration = np.array([beta[0] - beta[1] * mean / scale, beta[1] / scale])
 
     def posteriors(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         evidence = self.evidence(flat, cuts)
-        p = 1 / (1 + np.exp(-np.clip(self.signs(evidence) @ self.calibration, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(self.calibration[0] + self.calibration[1] * np.log1p(evidence), -30, 30)))
         return np.where(evidence > 0, p, 0)
 
 
+def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic regression, the slope slightly damped, by Newton steps of bounded size."""
+    beta, penalty = np.zeros(2), np.array([0.0, 1.0])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
+        gradient = z.T @ (y - p) - penalty * beta
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), gradient)
+        beta += step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
+        if np.abs(step).max() < 1e-6:
+            break
+    return beta
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cuts = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
@@ -256,7 +268,7 @@ def subject_areas(
     term is counted over all documents. A complement naive Bayes model is fitted on at most ``max_labelled``
     labelled documents, the first by hashed id, then refined by ``em_steps`` passes of
     expectation-maximization over all other documents. Each subject's posterior is calibrated on
-    the labels by the evidence for it and its share in the document, so that a document may have several
+    the labels by the votes of the document's terms for it, so that a document may have several
     subjects or none.
 
     Documents with null or empty text, or without a term that speaks for a subject, get no row;

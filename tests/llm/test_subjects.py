@@ -20,6 +20,8 @@ def corpus(n, seed):
         if own and d % 7 == 0:
             words.append(rng.choice(TOPICS[rng.choice(sorted(TOPICS))]))  # a passing mention
         rng.shuffle(words)
+        if not own:
+            words = "keep this notice in every copy nothing here comes with any promise".split()  # never labelled
         docs.append((d, "".join(map(str.capitalize, words)) if d % 2 else "_".join(words)))
         truth[d] = set(own)
     return docs, truth

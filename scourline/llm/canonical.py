@@ -322,12 +322,12 @@ def canonical_places(
 
     odd_countries = pairs.where("not no_country and exact_country is null").select(F.col("country").alias("value"), none).distinct()
     known = stage(map_values(odd_countries, country_entries, open_=(0.5, 0.25), affixes=COUNTRY_AFFIXES), "canonical-countries")
-    known = known.select(F.col("value").alias("country"), F.col("ref_id").alias("odd_country"))
+    known = known.select(F.col("value").alias("country"), F.col("ref_id").alias("odd_country"), F.col("jaccard").alias("odd_score"))
     pairs = pairs.join(known, "country", "left").withColumn("country_ref", F.coalesce("exact_country", "odd_country"))
     pairs = stage(pairs, "canonical-pairs-known")
 
-    # values that have changed places
-    strangers = pairs.where("not no_country and country_ref is null and not no_city and city_ok is null")
+    # values that have changed places; a place may be like a country, but not have its very letters
+    strangers = pairs.where("not no_country and exact_country is null and not no_city and city_ok is null and coalesce(odd_score, 0) < 1")
     as_place = map_values(strangers.select(F.col("country").alias("value"), none).distinct(), place_entries, scoped=(0.6,), open_=(0.6,))
     maybe = stage(strangers.join(as_place.select(F.col("value").alias("country")).distinct(), "country", "left_semi"), "canonical-strangers")
     as_country = map_values(maybe.select(F.col("city").alias("value"), none).distinct(), country_entries, scoped=(0.5,), open_=(0.5,), affixes=COUNTRY_AFFIXES)

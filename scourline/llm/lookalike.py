@@ -133,28 +133,30 @@ def consistent_form(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
 
 def look_alike_matches(
     df: DataFrame, id_col: str, text_col: str, group_col: str,
-    reference: DataFrame, ref_id: str, ref_text: str, ref_group: str,
+    reference: DataFrame, ref_id: str, ref_text: str, ref_group: str, ref_code: str | None = None,
 ) -> DataFrame:
     """(id, ref_id) of the rows whose text is a reference text made of other characters.
 
     Rows that differ from the reference text in case, ASCII white space and punctuation alone are no
-    case, nor are other spellings. Where several entries share the text, the one whose group looks
-    most like the row's group is taken, then the smallest ref_id. Null texts never match.
+    case, nor are other spellings. Where several entries share the text, the row's group decides: the
+    entry whose ``ref_code`` it is, punctuation and case disregarded, else the one whose ``ref_group`` is fewest
+    edits away, then the smallest ref_id. Null texts never match.
     """
-    entries = consistent_form(reference, ref_text, [ref_id, ref_group]).where(F.col("key") != "").select(
-        F.col(ref_id).alias("_ref"), F.col(ref_group).alias("_group"), F.col("key").alias("_key"), F.col("plain").alias("_plain")
-    )
-    grouped = entries.groupBy("_key").agg(
-        F.collect_list(F.struct("_ref", "_group")).alias("_entries"), F.collect_set("_plain").alias("_plains")
+    letters = lambda c: F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^\p{L}\p{N}]+", ""))
+    code = F.lit("") if ref_code is None else letters(F.col(ref_code))
+    named = reference.select(F.col(ref_id).alias("_ref"), letters(F.col(ref_group)).alias("_group"), code.alias("_code"), F.col(ref_text).alias("_text"))
+    entries = consistent_form(named, "_text", ["_ref", "_group", "_code"]).where(F.col("key") != "")
+    grouped = entries.groupBy(F.col("key").alias("_key")).agg(
+        F.collect_list(F.struct("_ref", "_group", "_code")).alias("_entries"), F.collect_set("plain").alias("_plains")
     )
     rows = consistent_form(df, text_col, [id_col, group_col]).where(F.col("key") != "")
     # two readings, one join: a row goes out once for each of its keys
     rows = rows.select(id_col, group_col, "plain", F.explode(F.array_compact(F.array("key", "other_key"))).alias("_key"))
-    group = F.lower(F.trim(F.coalesce(F.col(group_col), F.lit(""))))
+    group = letters(F.col(group_col))
     ranked = F.transform(
         "_entries",
         lambda e: F.struct(
-            F.levenshtein(group, F.lower(F.coalesce(e["_group"], F.lit("")))).alias("far"), e["_ref"].alias("ref")
+            F.when((e["_code"] != "") & (e["_code"] == group), -1).otherwise(F.levenshtein(group, e["_group"])).alias("far"), e["_ref"].alias("ref")
         ),
     )
     best = F.when(F.size("_entries") == 1, F.col("_entries")[0]["_ref"]).otherwise(F.array_min(ranked)["ref"])

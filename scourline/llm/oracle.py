@@ -67,12 +67,18 @@ def _forms(source: str, columns: str, text: str) -> str:
     )
 
 
+def _letters(x: str) -> str:
+    return f"lower(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
+
+
 _LOOK_ALIKES = f"""
 WITH cities AS (SELECT * FROM ({_forms('demo_city', 'row_id := row_id, country := country', 'city')}) WHERE key <> ''),
-places AS (SELECT * FROM ({_forms('ref_places', 'place_id := place_id, country := country', 'city')}) WHERE key <> ''),
+coded AS (SELECT place_id, city, p.country, code FROM ref_places p LEFT JOIN ref_countries c USING (country_id)),
+places AS (SELECT * FROM ({_forms('coded', 'place_id := place_id, country := country, code := code', 'city')}) WHERE key <> ''),
 cases AS (SELECT c.i AS row, p.i AS place, p.key FROM cities c JOIN places p ON p.key = c.key OR p.key = c.other_key
           WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.key = p.key AND q.plain = c.plain))
-SELECT DISTINCT row.row_id AS row_id, arg_min(place.place_id, [levenshtein(lower(trim(coalesce(row.country, ''), ' ')), lower(place.country)), place.place_id]) AS place_id
+SELECT DISTINCT row.row_id AS row_id, arg_min(place.place_id, [CASE WHEN {_letters('row.country')} = {_letters('place.code')} THEN -1
+         ELSE levenshtein({_letters('row.country')}, {_letters('place.country')}) END, place.place_id]) AS place_id
 FROM cases GROUP BY row, key"""
 
 ORACLE = {

@@ -41,7 +41,8 @@ def p2_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     cities, places = _table(spark, sf_dir, "demo_city"), _table(spark, sf_dir, "ref_places")
-    return look_alike_matches(cities, "row_id", "city", "country", places, "place_id", "city", "country")
+    coded = places.join(_table(spark, sf_dir, "ref_countries").select("country_id", "code"), "country_id", "left")
+    return look_alike_matches(cities, "row_id", "city", "country", coded, "place_id", "city", "country", "code")
 
 
 def p3_forms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from scourline.llm import canonical as C
 
 CITIES = ["Nova Boüxthorn", "Saint Tywàdal", "Libeze", "Ясннаринск", "Old Zotrio", "Nougro", "Keisgaloux", "Port Grebroona", "Twin Hills"]
-PLACES = [(k + 1, c, "Glemsou" if k == 2 else None, 1 + k % 2, "") for k, c in enumerate(CITIES)] + [(50, "Twin Hills", None, 2, "")]
+PLACES = [(k + 1, c, "Glemsou" if k == 2 else None, 1 + k % 2, "") for k, c in enumerate(CITIES)] + [(50, "Twin Hills", None, 2, ""), (51, "Moucyrland", None, 1, "")]
 COUNTRIES = [(1, "Tëibrieia", "TEI"), (2, "Moucyrnland", "MOU")]
 
 
@@ -26,7 +26,7 @@ CASES = [
     ("City of Nougro", "Moucyrnland", {"city": 6}), ("nourgo", "MOU", {"city": 6, "country": 2}), ("TEI Keisgaloux", "Tëibrieia", {"city": 7}),
     ("depot 31", "Tëibrieia", {"city": -1}), ("Furngeff", "Flygirmark", {"city": -1, "country": -1}), ("Twin hills", None, {"city": 9}),
     ("twin hills", "Moucyrnland", {"city": 50}), ("twin hills", "Tëibrieia", {"city": 9}), ("Libeze", "Tëibrieia", {}), ("n/a", "--", {}), (None, "TEI", {"country": 1}),
-    ("", None, {}), ("Tëibrieia", "Libeze", {}), ("tëibrieia.", "LIBEZE", {}), ("Nougro", "unknown", {}), ("Old Zotrio municipality", "none", {"city": 5}),
+    ("", None, {}), ("Tëibrieia", "Libeze", {}), ("tëibrieia.", "LIBEZE", {}), ("Tëibrieia", "Moucyrland", {}), ("MOU", "moucyrland!", {}), ("Nougro", "unknown", {}), ("Old Zotrio municipality", "none", {"city": 5}),
 ]
 
 

@@ -251,7 +251,10 @@ def sketch_medians(sketches: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def sketch_quantiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> DataFrame:
-    """(keys, n, q, value) for each sketch and each q; the value of rank q * (n - 1), rounded down."""
+    """(keys, n, q, value, low, high) for each sketch and each q.
+
+    ``value`` estimates the value of rank q * (n - 1), rounded down, which lies between ``low`` and ``high``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,12 +264,13 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> D
                 pa.array(np.repeat([s.n for s in made], len(qs)), pa.int64()),
                 pa.array(qs * len(made), pa.float64()),
                 pa.array([s.quantile(q) for s in made for q in qs], pa.float64()),
+                *[pa.array([s.bounds(math.floor(q * (s.n - 1) + 1e-9))[k] for s in made for q in qs], pa.float64()) for k in (0, 1)],
             ]
             keep = [c.take(rows) for c in batch.columns[:-1]]
-            yield pa.RecordBatch.from_arrays([*keep, *columns], names=[*batch.schema.names[:-1], "n", "q", "value"])
+            yield pa.RecordBatch.from_arrays([*keep, *columns], names=[*batch.schema.names[:-1], "n", "q", "value", "low", "high"])
 
     types = {f.name: f.dataType.simpleString() for f in sketches.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, q double, value double"
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, q double, value double, low double, high double"
     return map_in_arrow(sketches.select(*keys, "sketch"), run, schema)
 
 

@@ -81,6 +81,15 @@ def test_exact_medians(spark):
     assert [tuple(r) for r in Q.exact_medians(df, ["g"], "v", window).collect()] == [("a", 6.0)]
 
 
+def test_quantiles_lie_within_their_bounds(spark):
+    rng = random.Random(14)
+    values = sorted(rng.lognormvariate(3, 2) for _ in range(20_000))
+    df = spark.createDataFrame([("g", v) for v in rng.sample(values, len(values))], "g string, v double").repartition(6)
+    for r in Q.sketch_quantiles(Q.quantile_sketches(df, ["g"], "v"), ["g"], [0.0, 0.3, 0.5, 0.99, 1.0]).collect():
+        want = values[math.floor(r.q * 19_999 + 1e-9)]
+        assert r.low <= want <= r.high and r.low <= r.value <= r.high
+
+
 def test_edges(spark):
     empty = spark.createDataFrame([], "g string, v int")
     assert Q.quantile_sketches(empty, ["g"], "v").count() == 0 and Q.disagreeing_parts(empty, "g", "g", "v").count() == 0

@@ -20,6 +20,9 @@ FILLERS = [
     "unknown", "unspecified",
 ]
 
+#: Codes that are hashed over one prefix sum.
+BLOCK = 1 << 18
+
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 
@@ -76,19 +79,50 @@ def char_values() -> np.ndarray:
     return mix(np.arange(TABLE_SIZE, dtype=np.uint64) + np.uint64(0x632BE59BD9B4E019))
 
 
-def powers(n: int, base: int) -> np.ndarray:
-    """base**0 .. base**n modulo 2**64."""
-    out = np.full(n + 1, base & _MASK, np.uint64)
-    out[0] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
-def span_hashes(values: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Polynomial hashes of values[begin:end], rolled over one prefix sum."""
-    total = np.zeros(len(values) + 1, np.uint64)
-    np.cumsum(values * powers(len(values), _BASE)[: len(values)], out=total[1:])
-    inverse = powers(len(values), pow(_BASE, -1, 1 << 64))
-    return (total[ends] - total[begins]) * inverse[begins]
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """_BASE**0 .. _BASE**BLOCK modulo 2**64, and their inverses."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(BLOCK + 1, base & _MASK, np.uint64)
+        steps[0] = 1
+        out.append(np.cumprod(steps, dtype=np.uint64))
+    return out[0], out[1]
+
+
+def _long_hash(codes: np.ndarray, table: np.ndarray | None) -> np.uint64:
+    forward, _ = _powers()
+    total, power = np.zeros(1, np.uint64), np.ones(1, np.uint64)
+    for lo in range(0, len(codes), BLOCK):
+        part = codes[lo : lo + BLOCK]
+        total += ((part if table is None else table[part]) * forward[: len(part)]).sum(dtype=np.uint64) * power
+        power *= forward[BLOCK]
+    return total[0]
+
+
+def span_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray, table: np.ndarray | None = None) -> np.ndarray:
+    """Polynomial hashes of codes[begin:end], rolled over prefix sums of BLOCK codes at a time.
+
+    Spans come in their order and don't overlap. With ``table`` the value of a code is looked up there, block
+    by block, so that long texts take no array of values.
+    """
+    forward, inverse = _powers()
+    out = np.zeros(len(begins), np.uint64)
+    i = 0
+    while i < len(begins):
+        lo = int(begins[i])
+        j = int(np.searchsorted(ends, lo + BLOCK, "right"))
+        if j <= i:
+            out[i] = _long_hash(codes[lo : int(ends[i])], table)
+            i += 1
+            continue
+        part = codes[lo : int(ends[j - 1])]
+        total = np.zeros(len(part) + 1, np.uint64)
+        np.cumsum((part if table is None else table[part]) * forward[: len(part)], out=total[1:])
+        b = begins[i:j] - lo
+        out[i:j] = (total[ends[i:j] - lo] - total[b]) * inverse[b]
+        i = j
+    return out
 
 
 def folded_hashes(texts: pa.Array) -> np.ndarray:

@@ -59,7 +59,7 @@ def terms_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndar
     begins, ends = np.flatnonzero(starts), np.flatnonzero(stops) + 1
     fit = (ends - begins >= _SHORTEST) & (ends - begins <= _LONGEST)
     begins, ends = begins[fit], ends[fit]
-    return mix(span_hashes(_VALUES[data], begins, ends)), np.searchsorted(offsets, begins, "right") - 1
+    return mix(span_hashes(data, begins, ends, _VALUES)), np.searchsorted(offsets, begins, "right") - 1
 
 
 def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

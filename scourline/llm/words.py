@@ -58,7 +58,7 @@ def find_words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def word_hashes(folded: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return mix(span_hashes(_VALUES[folded], begins, ends))
+    return mix(span_hashes(folded, begins, ends, _VALUES))
 
 
 def window_hashes(words: np.ndarray, width: int) -> np.ndarray:

@@ -87,6 +87,24 @@ def test_two_pointers_and_hashes_agree():
         assert same_but_layout(a, b) == (h[0] == h[1]), (a, b)
 
 
+@pytest.mark.parametrize("block", [4, 1 << 18])
+def test_span_hashes_do_not_depend_on_the_place(monkeypatch, block):
+    import numpy as np
+
+    from scourline.llm import codepoints
+
+    monkeypatch.setattr(codepoints, "BLOCK", block)
+    codepoints._powers.cache_clear()
+    words = ["abc", "a", "", "abcabcabcabc", "abc", "x" * 40, "abcabcabcabc", ""]
+    codes = np.frombuffer("".join(words).encode(), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    table = codepoints.mix(np.arange(256, dtype=np.uint64))
+    got = codepoints.span_hashes(codes, ends - [len(w) for w in words], ends, table)
+    codepoints._powers.cache_clear()
+    want = [sum(int(table[ord(c)]) * pow(codepoints._BASE, k, 1 << 64) for k, c in enumerate(w)) % (1 << 64) for w in words]
+    assert got.tolist() == want
+
+
 def test_missing():
     texts = pa.array([None, "", " -- ", "N/A", "(blank)", "Not known", "Nablus", "unknown city", "​"])
     assert missing(texts, folded_hashes(texts)).tolist() == [True] * 6 + [False] * 3

@@ -37,6 +37,9 @@ LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶ
 # letter-like, circled and mathematical forms.
 COMPATIBLE = [(0xFF01, 0xFF5F), (0x2160, 0x2180), (0x2100, 0x2150), (0x2460, 0x2500), (0x1D400, 0x1D800)]
 
+#: Bytes of a reference list up to which it is broadcast.
+BROADCAST_BYTES = 1_000_000
+
 #: Greek nu is V in lower case and N in upper case; where case was changed the other reading holds.
 _NU = ("νΝ", "nV")
 
@@ -160,5 +163,10 @@ def look_alike_matches(
         ),
     )
     best = F.when(F.size("_entries") == 1, F.col("_entries")[0]["_ref"]).otherwise(F.array_min(ranked)["ref"])
+    # a small list goes to the rows; its measured bytes bound the broadcast (keys and texts of an entry are
+    # at most a few times its text)
+    size = reference.agg(F.sum(64 + F.octet_length(F.concat_ws("", ref_text, ref_group)))).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        grouped = F.broadcast(grouped)
     found = rows.join(grouped, "_key").where(~F.array_contains("_plains", F.col("plain")))
     return found.select(F.col(id_col), best.alias(ref_id)).distinct()

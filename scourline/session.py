@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import zipfile
 from pathlib import Path
@@ -32,7 +34,9 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     root = Path(__file__).resolve().parent
-    target = Path(tempfile.mkdtemp(prefix="scourline-ship-")) / "scourline.zip"
+    folder = tempfile.mkdtemp(prefix="scourline-ship-")  # on the driver, from where executors fetch it
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    target = Path(folder) / "scourline.zip"
     with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
         for path in sorted(root.rglob("*.py")):
             z.write(path, path.relative_to(root.parent))

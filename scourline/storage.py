@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -10,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 _own_folder: str | None = None
 _written: list[tuple[SparkSession, str]] = []
+_registered = False
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,8 +29,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that nothing uses yet; deleted when the driver ends."""
+    global _registered
     path = f"{shared_folder(spark)}/scourline/{name}-{uuid.uuid4().hex}"
     _written.append((spark, path))
+    if not _registered:  # now that a session is there, so that this runs before the JVM is ended
+        atexit.register(remove_written)
+        _registered = True
     return path
 
 
@@ -59,12 +65,16 @@ def delete(spark: SparkSession, path: str) -> None:
 
 def remove_written() -> None:
     """Delete all folders of new_folder(); results that still read them become invalid."""
+    global _own_folder
     while _written:
         spark, path = _written.pop()
         try:
-            delete(spark, path)
+            if path.startswith("file:"):
+                shutil.rmtree("/" + path.removeprefix("file:").lstrip("/"), ignore_errors=True)
+            else:
+                delete(spark, path)
         except Exception:  # the session may be gone at exit
             pass
-
-
-atexit.register(remove_written)
+    if _own_folder is not None:
+        shutil.rmtree(_own_folder, ignore_errors=True)
+        _own_folder = None

@@ -7,10 +7,12 @@ import re
 import unicodedata
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -239,13 +241,33 @@ def _closest(keys: DataFrame, entries: DataFrame, shared, scoped: float, open_:
     return map_in_arrow(sorted_, _keep_best(scoped, open_, least_edit), "key string, scope long, ref_id long, jaccard double, share double")
 
 
+@dataclass
+class Entries:
+    """A reference list made ready for joins: its staged keys, and the broadcast rarities of their tokens."""
+
+    keys: DataFrame
+    rarity: Broadcast
+
+    @classmethod
+    def of(cls, entries: DataFrame) -> Entries:
+        """From a list (ref_id, text, scope); null ids and texts are left out."""
+        listed = entries.where("text is not null and ref_id is not null")
+        listed = listed.select(F.col("ref_id").cast("long"), F.col("text").cast("string"), F.col("scope").cast("long"))
+        keys = stage(map_in_arrow(listed, _entry_keys, "ref_id long, key string, scope long").distinct(), "canonical-entries")
+        rarity = np.zeros(RARITY_BUCKETS, np.int64)
+        counts = map_in_arrow(keys, _entry_tokens, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
+        for bucket, n in counts.collect():  # at most RARITY_BUCKETS rows
+            rarity[bucket] = n
+        return cls(keys, entries.sparkSession.sparkContext.broadcast(rarity))
+
+
 def map_values(
-    values: DataFrame, entries: DataFrame, scoped: tuple[float, ...] = (0.5, 0.25), open_: tuple[float, ...] = (0.5, 0.4),
+    values: DataFrame, entries: DataFrame | Entries, scoped: tuple[float, ...] = (0.5, 0.25), open_: tuple[float, ...] = (0.5, 0.4),
     least_edit: float = 0.66, affixes: list[str] | None = None,
 ) -> DataFrame:
     """(value, scope, ref_id, jaccard) for the distinct ``values`` (value, scope) that have an entry.
 
-    ``entries`` (ref_id, text, scope) may list several texts of one entry. A value with a scope is only
+    ``entries`` (ref_id, text, scope), or Entries made of it, may list several texts of one entry. A value with a scope is only
     compared to entries of that scope, one without (null) to all. Both become sets of pairs of
     letters, without letter case, accents, look-alikes, white space and punctuation; the tokens of a
     set are ordered by global rarity, only rare prefixes are joined, candidates pass length and
@@ -258,23 +280,16 @@ def map_values(
     Values without a letter or digit and null values have no entry; an empty list maps nothing.
     Values that differ in layout only are one key and are joined once.
     """
-    spark = values.sparkSession
     words = frozenset(AFFIXES if affixes is None else affixes)
+    entries = entries if isinstance(entries, Entries) else Entries.of(entries)
     named = stage(
         values.where("value is not null").select(F.monotonically_increasing_id().alias("vid"), "value", F.col("scope").cast("long")),
         "canonical-values",
     )
-    listed = entries.where("text is not null and ref_id is not null").select(F.col("ref_id").cast("long"), F.col("text").cast("string"), F.col("scope").cast("long"))
-    known = stage(map_in_arrow(listed, _entry_keys, "ref_id long, key string, scope long").distinct(), "canonical-entries")
-    rarity = np.zeros(RARITY_BUCKETS, np.int64)
-    counts = map_in_arrow(known, _entry_tokens, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    for bucket, n in counts.collect():  # at most RARITY_BUCKETS rows
-        rarity[bucket] = n
-    shared = spark.sparkContext.broadcast(rarity)
     keyed = stage(map_in_arrow(named.select("vid", "value", "scope"), _value_keys(words), "vid long, key string, scope long"), "canonical-keys")
     left, found = keyed.select("key", "scope").distinct(), None
     for a, b in zip(scoped, open_, strict=True):
-        step = stage(_closest(left, known, shared, a, b, least_edit), "canonical-closest")
+        step = stage(_closest(left, entries.keys, entries.rarity, a, b, least_edit), "canonical-closest")
         found = step if found is None else found.unionByName(step)
         left = left.join(step.select("key", "scope"), ["key", "scope"], "left_anti")
     best = keyed.join(found, ["key", "scope"]).groupBy("vid").agg(F.max(F.struct("share", "jaccard", (-F.col("ref_id")).alias("ref"))).alias("b"))
@@ -317,6 +332,7 @@ def canonical_places(
     )
     country_entries = countries.select(F.col("country_id").alias("ref_id"), F.explode(F.array("country", "code")).alias("text"), F.lit(0).alias("scope"))
     place_entries = places.select(F.col("place_id").alias("ref_id"), F.explode(F.array("city", "alt_name")).alias("text"), F.col("country_id").alias("scope"))
+    country_entries, place_entries = Entries.of(country_entries), Entries.of(place_entries)
     codes = [r[0].lower() for r in countries.where("code is not null").select("code").distinct().collect()]
     none = F.lit(None).cast("long").alias("scope")
 

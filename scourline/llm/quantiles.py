@@ -8,11 +8,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_in_arrow
-from .storage import stage
+from ..storage import stage
 
 #: Groups of one task from which its sketches are handed on.
 FLUSH_GROUPS = 20_000
@@ -236,17 +236,21 @@ def quantile_sketches(df: DataFrame, keys: list[str], value: str, k: int = 64, p
 
 
 def sketch_medians(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, n, median_lo, median_hi) of each sketch."""
+    """(keys, n, median_lo, median_hi, low, high) of each sketch.
+
+    The median lies between the first two; both of the middle items lie between ``low`` and ``high``.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["median_lo", "median_hi", "low", "high"]
         for batch in batches:
             made = [RelativeCompactors.from_bytes(x) for x in batch.columns[-1].to_pylist()]
-            lo, hi = zip(*[s.median_bounds() for s in made], strict=True) if made else ((), ())
-            columns = [pa.array([s.n for s in made], pa.int64()), pa.array(lo, pa.float64()), pa.array(hi, pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "n", "median_lo", "median_hi"])
+            found = [(*s.median_bounds(), s.bounds((s.n - 1) // 2)[0], s.bounds(s.n // 2)[1]) for s in made]
+            columns = [pa.array([s.n for s in made], pa.int64()), *[pa.array([f[k] for f in found], pa.float64()) for k in range(4)]]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "n", *names])
 
     types = {f.name: f.dataType.simpleString() for f in sketches.schema.fields}
-    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, median_lo double, median_hi double"
+    schema = ", ".join(f"{c} {types[c]}" for c in keys) + ", n long, median_lo double, median_hi double, low double, high double"
     return map_in_arrow(sketches.select(*keys, "sketch"), run, schema)
 
 
@@ -274,24 +278,90 @@ def sketch_quantiles(sketches: DataFrame, keys: list[str], qs: list[float]) -> D
     return map_in_arrow(sketches.select(*keys, "sketch"), run, schema)
 
 
+def _narrowed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows ending in (low, high, inner rank, sketch) with the bounds of the inner rank, where these are closer."""
+    for batch in batches:
+        at = batch.num_columns - 4
+        lows, highs, inner, sketches = (c.to_pylist() for c in batch.columns[at:])
+        found = [RelativeCompactors.from_bytes(x).bounds(r) for x, r in zip(sketches, inner, strict=True)]
+        columns = [
+            pa.array([max(a, f[0]) for a, f in zip(lows, found, strict=True)], pa.float64()),
+            pa.array([min(a, f[1]) for a, f in zip(highs, found, strict=True)], pa.float64()),
+        ]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:at], *columns], names=batch.schema.names[: at + 2])
+
+
+def _same(left: str, right: str, count: int) -> Column:
+    out = F.lit(True)
+    for n in range(count):
+        out = out & F.col(f"{left}{n}").eqNullSafe(F.col(f"{right}{n}"))
+    return out
+
+
+def exact_ranks(df: DataFrame, keys: list[str], value: str, wanted: DataFrame, k: int = 64) -> DataFrame:
+    """(keys, rank, exact): the value of each wanted rank (0 is the smallest) of its group.
+
+    ``wanted`` has (keys, rank, low, high), the bounds being infinite or values of the group with
+    low <= wanted value <= high, as sketches give them. Each pass counts the values below and at the bounds, which
+    settles ranks that fall on them, and sketches what lies strictly between, which bounds the others more
+    closely; ever larger sketches end exact. All steps combine before they shuffle, so no task sees all values
+    of a group. Null and non-finite values are disregarded; null keys are groups of their own.
+    """
+    inner = [f"_k{n}" for n in range(len(keys))]
+    rows = df.select(*[F.col(c).alias(i) for c, i in zip(keys, inner, strict=True)], F.col(value).cast("double").alias("_v"))
+    rows = rows.where("_v is not null and not isnan(_v) and abs(_v) < double('Infinity')")
+    asked = [F.col(c).alias(f"_w{n}") for n, c in enumerate(keys)]
+    open_ = stage(wanted.select(*asked, F.col("rank").cast("long").alias("_rank"), F.col("low").alias("_low"), F.col("high").alias("_high")).distinct(), "quantile-open")
+    names = [f"_w{n}" for n in range(len(keys))]
+    types = dict(open_.dtypes)
+    schema = ", ".join(f"{c} {types[c]}" for c in names) + ", _rank long, _low double, _high double"
+    done = None
+    while True:
+        joined = rows.join(open_, _same("_k", "_w", len(keys)))
+        count = lambda x: F.sum(F.when(x, 1).otherwise(0))
+        placed = joined.groupBy(*names, "_rank", "_low", "_high").agg(
+            count(F.col("_v") < F.col("_low")).alias("_below"), count(F.col("_v") == F.col("_low")).alias("_at"),
+            count((F.col("_v") > F.col("_low")) & (F.col("_v") < F.col("_high"))).alias("_inside"),
+        )
+        left = F.col("_rank") - F.col("_below") - F.col("_at")
+        placed = stage(placed.withColumn("_left", left), "quantile-placed")
+        settled = placed.where("_left < 0 or _left >= _inside").select(
+            *names, "_rank", F.when(F.col("_left") < 0, F.col("_low")).otherwise(F.col("_high")).alias("exact")
+        )
+        done = settled if done is None else done.unionByName(settled)
+        rest = placed.where("_left >= 0 and _left < _inside")
+        if rest.isEmpty():
+            break
+        k *= 2
+        part = rows.join(rest.select(*names, "_rank", "_low", "_high"), _same("_k", "_w", len(keys))).where("_v > _low and _v < _high")
+        sketches = quantile_sketches(part, [*names, "_rank"], "_v", k)
+        again = sketches.select(*[F.col(c).alias(f"_k{n}") for n, c in enumerate(names)], F.col("_rank").alias("_r"), "sketch")
+        both = rest.join(again, _same("_w", "_k", len(keys)) & (F.col("_rank") == F.col("_r")))
+        open_ = stage(map_in_arrow(both.select(*names, "_rank", "_low", "_high", "_left", "sketch"), _narrowed, schema), "quantile-open")
+    return done.select(*[F.col(i).alias(c) for c, i in zip(keys, names, strict=True)], F.col("_rank").alias("rank"), "exact")
+
+
 def exact_medians(df: DataFrame, keys: list[str], value: str, windows: DataFrame) -> DataFrame:
-    """(keys, median) for the groups of ``windows`` (keys, n, median_lo, median_hi).
+    """(keys, median) for the groups of ``windows`` (keys, n, low, high): the mean of the two middle values."""
+    n = F.col("n")
+    middle = F.explode(F.array_distinct(F.array(F.floor((n - 1) / 2), F.floor(n / 2))))
+    ranks = exact_ranks(df, keys, value, windows.select(*keys, middle.alias("rank"), "low", "high"))
+    return ranks.groupBy(*keys).agg(F.avg("exact").alias("median"))
 
-    Only values between the bounds are counted one by one; those below the bounds only in number.
-    """
-    from pyspark.sql import Window
 
-    number = F.col(value).cast("double")
-    rows = df.select(*keys, number.alias("_v")).join(windows.select(*keys, "n", "median_lo", "median_hi"), keys)
-    inside = (F.col("_v") >= F.col("median_lo")) & (F.col("_v") <= F.col("median_hi"))
-    # values below the window travel as the one value before it
-    bucket = F.when(F.col("_v") < F.col("median_lo"), F.lit(float("-inf"))).when(inside, F.col("_v"))
-    counts = rows.withColumn("_b", bucket).where("_b is not null").groupBy(*keys, "n", "_b").agg(F.count(F.lit(1)).alias("_c"))
-    until = F.sum("_c").over(Window.partitionBy(*keys).orderBy("_b"))
-    ranked = counts.withColumn("_u", until).where(F.col("_u") > F.floor((F.col("n") - 1) / 2))
-    low = F.min("_b")
-    high = F.min(F.when(F.col("_u") > F.floor(F.col("n") / 2), F.col("_b")))
-    return ranked.groupBy(*keys).agg(((low + high) / 2).alias("median"))
+def exact_quantiles(df: DataFrame, keys: list[str], value: str, qs: list[float], k: int = 64) -> DataFrame:
+    """(keys, n, q, value, low, high, exact): what sketch_quantiles gives, and the exact value of that rank.
+
+    The exact values are found from the bounds of the sketches by exact_ranks; where the bounds meet
+    they need no further pass than the one that counts.
+    """
+    rough = stage(sketch_quantiles(quantile_sketches(df, keys, value, k), keys, qs), "quantile-rough")
+    rank = F.floor(F.col("q") * (F.col("n") - 1) + 1e-9)
+    ranks = exact_ranks(df, keys, value, rough.select(*keys, rank.alias("rank"), "low", "high"), k)
+    ranks = ranks.select(*[F.col(c).alias(f"_w{n}") for n, c in enumerate(keys)], F.col("rank").alias("_rank"), "exact")
+    numbered = rough.select("*", *[F.col(c).alias(f"_k{n}") for n, c in enumerate(keys)], rank.alias("_r"))
+    found = numbered.join(ranks, _same("_k", "_w", len(keys)) & (F.col("_r") == F.col("_rank")))
+    return found.select(*keys, "n", "q", "value", "low", "high", "exact")
 
 
 def disagreeing_parts(
@@ -299,21 +369,21 @@ def disagreeing_parts(
 ) -> DataFrame:
     """(group, part) whose median is more than ``factor`` times the median of its group, or less than 1/factor.
 
-    Parts with fewer than ``least_rows`` values are no case. Medians come from the sketches of the
-    parts and, merged, of the groups; only where the error bounds leave a case open are the exact
-    medians of that part and its group computed. A median is the mean of the two middle values.
+    Parts with fewer than ``least_rows`` values are no case, nor are rows without a part, which count for
+    their group all the same. Medians come from the sketches of the parts and, merged, of the groups; only
+    where the error bounds leave a case open are the exact medians of that part and its group computed. A
+    median is the mean of the two middle values.
     """
-    rows = df.where(F.col(group).isNotNull() & F.col(part).isNotNull()).select(
+    rows = df.where(F.col(group).isNotNull()).select(
         F.col(group).alias("_group"), F.col(part).alias("_part"), F.col(value).cast("double").alias("_value")
     )
     names = {"_group": group, "_part": part}
     parts = stage(quantile_sketches(rows, ["_group", "_part"], "_value", k), "quantile-parts")
     whole = sketch_medians(merge_sketches(parts, ["_group"]), ["_group"]).withColumnsRenamed(
-        {"n": "_n", "median_lo": "_lo", "median_hi": "_hi"}
-    )
-    medians = stage(
-        sketch_medians(parts, ["_group", "_part"]).where(F.col("n") >= least_rows).join(whole, "_group"), "quantile-medians"
+        {"n": "_n", "median_lo": "_lo", "median_hi": "_hi", "low": "_low", "high": "_high"}
     )
+    own = sketch_medians(parts.where("_part is not null"), ["_group", "_part"]).where(F.col("n") >= least_rows)
+    medians = stage(own.join(whole, "_group"), "quantile-medians")
     above = F.col("median_lo") > factor * F.col("_hi")
     below = F.col("median_hi") < F.col("_lo") / factor
     never = (F.col("median_hi") <= factor * F.col("_lo")) & (F.col("median_lo") >= F.col("_hi") / factor)
@@ -322,7 +392,7 @@ def disagreeing_parts(
     if open_.isEmpty():
         return found.withColumnsRenamed(names)
     own = exact_medians(rows, ["_group", "_part"], "_value", open_)
-    wholes = open_.select("_group", F.col("_n").alias("n"), F.col("_lo").alias("median_lo"), F.col("_hi").alias("median_hi")).distinct()
+    wholes = open_.select("_group", F.col("_n").alias("n"), F.col("_low").alias("low"), F.col("_high").alias("high")).distinct()
     all_ = exact_medians(rows, ["_group"], "_value", wholes).withColumnRenamed("median", "_whole")
     off = (F.col("median") > factor * F.col("_whole")) | (F.col("median") < F.col("_whole") / factor)
     return found.unionByName(own.join(all_, "_group").where(off).select("_group", "_part")).withColumnsRenamed(names)

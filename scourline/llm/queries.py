@@ -10,11 +10,14 @@ from .layout import layout_duplicates, layout_records
 from .leakage import leaked_items
 from .lookalike import consistent_form, look_alike_matches
 from .packing import containers, pack
-from .quantiles import disagreeing_parts, quantile_sketches, sketch_quantiles
+from .quantiles import disagreeing_parts, exact_quantiles, quantile_sketches, sketch_quantiles
 from .subjects import subject_areas
 from .survivors import surviving_fields
 from .terms import term_frequencies
 
+#: Percentiles of populations that are reported.
+PERCENTILES = [0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -60,8 +63,16 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each country: exact ones, found from the bounds of the sketches, and whether these bounds hold."""
+    found = exact_quantiles(_stated_populations(spark, sf_dir), ["country"], "population", PERCENTILES)
+    holds = (F.col("low") <= F.col("exact")) & (F.col("exact") <= F.col("high")) & (F.col("low") <= F.col("value")) & (F.col("value") <= F.col("high"))
+    return found.select("country", "n", "q", "exact", holds.alias("holds"))
+
+
+def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of each country from its sketch alone, with the bounds of each."""
     sketches = quantile_sketches(_stated_populations(spark, sf_dir), ["country"], "population")
-    return sketch_quantiles(sketches, ["country"], [0.01, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999])
+    return sketch_quantiles(sketches, ["country"], PERCENTILES)
 
 
 def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,9 +64,10 @@ def test_disagreeing_parts_against_brute_force(spark):
     rows += [("A", 99, 1e9)] * 19 + [("A", 98, 1e9)] * 20 + [("A", 97, None)] * 30 + [("A", None, 1e9)] * 5
     groups, parts = {}, {}
     for g, p, v in rows:
-        if g is not None and p is not None and v is not None:
+        if g is not None and v is not None:
             groups.setdefault(g, []).append(v)
-            parts.setdefault((g, p), []).append(v)
+            if p is not None:
+                parts.setdefault((g, p), []).append(v)
     want = sorted(k for k, v in parts.items() if len(v) >= 20 and not median(groups[k[0]]) / 8 <= median(v) <= 8 * median(groups[k[0]]))
     df = spark.createDataFrame(rows, "n string, median_lo long, v double").repartition(5)
     for k in (64, 2):  # with small sketches the bounds leave cases open
@@ -74,13 +75,32 @@ def test_disagreeing_parts_against_brute_force(spark):
         assert sorted(map(tuple, got.collect())) == want and got.columns == ["n", "median_lo"]
 
 
+def test_rows_without_a_part_count_for_their_group(spark):
+    rows = [("g", 1, 10.0)] * 30 + [("g", 2, 100.0)] * 30 + [("g", None, 1000.0)] * 200
+    df = spark.createDataFrame(rows, "g string, p long, v double")
+    assert sorted(map(tuple, Q.disagreeing_parts(df, "g", "p", "v").collect())) == [("g", 1), ("g", 2)]
+
+
 def test_exact_medians(spark):
     values = [5, 1, 1, 9, 7, 7, 3, 8]
     df = spark.createDataFrame([("a", float(v)) for v in values], "g string, v double")
-    window = spark.createDataFrame([("a", 8, 3.0, 8.0)], "g string, n long, median_lo double, median_hi double")
+    window = spark.createDataFrame([("a", 8, 3.0, 8.0)], "g string, n long, low double, high double")
     assert [tuple(r) for r in Q.exact_medians(df, ["g"], "v", window).collect()] == [("a", 6.0)]
 
 
+@pytest.mark.parametrize("kind", ["wide", "ties", "two"])
+def test_exact_ranks_narrow_from_any_bounds(spark, kind):
+    rng = random.Random(15)
+    draw = {"wide": lambda: rng.lognormvariate(3, 2), "ties": lambda: float(rng.randrange(4)), "two": lambda: rng.choice([1.0, 2.0])}[kind]
+    groups = {g: sorted(draw() for _ in range(n)) for g, n in (("a", 5000), (None, 700), ("b", 1))}
+    rows = [(g, v) for g, own in groups.items() for v in own] + [("a", None), ("a", float("nan"))]
+    df = spark.createDataFrame(rng.sample(rows, len(rows)), "low string, v double").repartition(5)
+    wanted = [(g, r, -math.inf, math.inf) for g, own in groups.items() for r in {0, len(own) // 3, len(own) // 2, len(own) - 1}]
+    asked = spark.createDataFrame(wanted, "low string, rank long, lo double, high double").select("low", "rank", F.col("lo"), "high")
+    got = Q.exact_ranks(df.withColumnRenamed("low", "g"), ["g"], "v", asked.withColumnsRenamed({"low": "g", "lo": "low"}), k=2)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(str((g, r, groups[g][r])) for g, r, _, _ in wanted)
+
+
 def test_quantiles_lie_within_their_bounds(spark):
     rng = random.Random(14)
     values = sorted(rng.lognormvariate(3, 2) for _ in range(20_000))
@@ -88,6 +108,8 @@ def test_quantiles_lie_within_their_bounds(spark):
     for r in Q.sketch_quantiles(Q.quantile_sketches(df, ["g"], "v"), ["g"], [0.0, 0.3, 0.5, 0.99, 1.0]).collect():
         want = values[math.floor(r.q * 19_999 + 1e-9)]
         assert r.low <= want <= r.high and r.low <= r.value <= r.high
+    exact = Q.exact_quantiles(df, ["g"], "v", [0.0, 0.3, 0.5, 0.99, 1.0], k=8).collect()
+    assert {r.q: r.exact for r in exact} == {q: values[math.floor(q * 19_999 + 1e-9)] for q in (0.0, 0.3, 0.5, 0.99, 1.0)}
 
 
 def test_edges(spark):

@@ -118,5 +118,21 @@ WITH texts AS (
   SELECT doc_id, item_id, hash(array_to_string(w[i : i + 12], ' ')) AS run FROM texts, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i)
 )
 SELECT DISTINCT d.doc_id, e.item_id FROM runs d JOIN runs e USING (run) WHERE d.doc_id IS NOT NULL AND e.item_id IS NOT NULL""",
+    "p8_verbatim": """
+WITH texts AS (
+  SELECT doc_id, NULL AS item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents
+  UNION ALL
+  SELECT NULL, item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') FROM eval_items
+), runs AS (
+  SELECT doc_id, item_id, i - 1 AS place, hash(array_to_string(w[i : i + 12], ' ')) AS run FROM texts, unnest(range(1, greatest(len(w) - 11, 1))) AS t(i)
+), met AS (
+  SELECT d.doc_id, e.item_id, d.place, d.place - e.place AS diagonal FROM runs d JOIN runs e USING (run) WHERE d.doc_id IS NOT NULL AND e.item_id IS NOT NULL
+), islands AS (
+  SELECT *, place - row_number() OVER (PARTITION BY doc_id, item_id, diagonal ORDER BY place) AS island FROM met
+), long AS (
+  SELECT doc_id, item_id, count(*) + 12 AS words, min(place) AS first_word FROM islands GROUP BY doc_id, item_id, diagonal, island
+)
+SELECT doc_id, item_id, words::INTEGER AS words, first_word FROM long
+QUALIFY row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, first_word) = 1""",
     "p2_terms": _TERMS + " SELECT field_name, term, occurrences, records, mark FROM marked",
 }

@@ -116,6 +116,11 @@ def p8_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(docs, "doc_id", "text", items, "item_id", "text")
 
 
+def p8_verbatim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest, then first, run of consecutive words of each document and item that share 13 or more."""
+    return p8_passages(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id", "words", "first_word")
+
+
 def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = subject_areas(_table(spark, sf_dir, "documents"), "doc_id", "text", _table(spark, sf_dir, "doc_labels"))
     return found.select("doc_id", "subject").distinct()

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import sys
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import pyarrow as pa
@@ -26,16 +27,10 @@ LOOK_ALIKES = [
     # Cyrillic letters with a diaeresis
     ("ЁёЇї", "ËëÏï"),
 ]
-# Marks that composed look-alikes may carry.
-MARKS = "̧̀́̂̃̄̆̇̈̊̋̌"
-# Characters without a width, and spaces that look like the ordinary one.
-INVISIBLE = r"[\x{AD}\x{34F}\x{61C}\x{180E}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{2066}-\x{206F}\x{FE00}-\x{FE0F}\x{FEFF}]+"
-SPACES = r"[\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
-# Compatibility forms of several letters.
-LIGATURES = "ﬀﬁﬂﬃﬄﬅﬆĲĳⅡⅢⅣⅥⅦⅧⅨⅪⅫⅱⅲⅳⅵⅶⅷⅸⅺⅻ"
-# Ranges of compatibility forms of one letter or digit each: full width, Roman numerals,
-# letter-like, circled and mathematical forms.
-COMPATIBLE = [(0xFF01, 0xFF5F), (0x2160, 0x2180), (0x2100, 0x2150), (0x2460, 0x2500), (0x1D400, 0x1D800)]
+# Format characters that are seen all the same, first and last of each range.
+SEEN = [(0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2, 0x8E2), (0xFFF9, 0xFFFB), (0x110BD, 0x110BD), (0x110CD, 0x110CD), (0x13430, 0x1343F)]
+# What stands in the names of other characters without a width.
+UNSEEN_NAMES = ["VARIATION SELECTOR", "FILLER", "GRAPHEME JOINER", "VOWEL INHERENT"]
 
 #: Bytes of a reference list up to which it is broadcast.
 BROADCAST_BYTES = 1_000_000
@@ -48,47 +43,75 @@ _ORDINARY = r"[\t-\r \p{P}$+<=>^`|~]+"
 
 
 @lru_cache(maxsize=1)
-def tables() -> dict[str, tuple[str, str]]:
-    """From and to of the translations, those over 200 entries by rule."""
-    look = {a: b for src, dst in LOOK_ALIKES for a, b in zip(src, dst, strict=True)}
-    for a, b in list(look.items()):
-        for mark in MARKS:
-            one, other = unicodedata.normalize("NFC", a + mark), unicodedata.normalize("NFC", b + mark)
-            if len(one) == len(other) == 1 and one not in look:
-                look[one] = other
-    compatible = {}
-    for lo, hi in COMPATIBLE:
-        for code in range(lo, hi):
-            form = unicodedata.normalize("NFKC", chr(code))
-            if len(form) == 1 and form != chr(code):
-                compatible[chr(code)] = form
-    return {"look": ("".join(look), "".join(look.values())), "compatible": ("".join(compatible), "".join(compatible.values()))}
+def tables() -> dict[str, dict[str, str]]:
+    """What single characters become, by rule over all of Unicode: unseen, spaces, compatible, look.
+
+    ``compatible`` holds every character that compatibility composition changes beyond canonical composition,
+    ``look`` the look-alikes, also with marks.
+    """
+    pairs = {a: b for src, dst in LOOK_ALIKES for a, b in zip(src, dst, strict=True)}
+    unseen, spaces, compatible, look = {}, {}, {}, dict(pairs)
+    for code in range(0x80, sys.maxunicode + 1):
+        ch = chr(code)
+        kind = unicodedata.category(ch)
+        if kind in ("Cs", "Co", "Cn"):
+            continue
+        if kind == "Cf" and not any(lo <= code <= hi for lo, hi in SEEN) or any(x in unicodedata.name(ch, "") for x in UNSEEN_NAMES):
+            unseen[ch] = ""
+            continue
+        if kind in ("Zs", "Zl", "Zp"):
+            spaces[ch] = " "
+            continue
+        form = unicodedata.normalize("NFKC", ch)
+        if form != unicodedata.normalize("NFC", ch):
+            compatible[ch] = form
+        parts = unicodedata.normalize("NFD", ch)
+        if len(parts) > 1 and parts[0] in pairs and ch not in pairs:
+            look[ch] = unicodedata.normalize("NFC", pairs[parts[0]] + parts[1:])
+    return {"unseen": unseen, "spaces": spaces, "compatible": compatible, "look": look}
 
 
 def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
+def character_class(characters: Iterable[str]) -> str:
+    """A regular expression of one of the characters, runs of them as ranges."""
+    codes, ranges = sorted(map(ord, characters)), []
+    for code in codes:
+        if ranges and ranges[-1][1] == code - 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
+
+
+def _replaced(text: str, table: dict[str, str]) -> str:
+    """SQL of a text with characters replaced: those that become one by translate, those that become several by a map."""
+    one, several = {a: b for a, b in table.items() if len(b) == 1}, {a: b for a, b in table.items() if len(b) > 1}
+    if several:
+        keys, values = (", ".join(map(_quoted, x)) for x in (several, several.values()))
+        mapped = f"array_to_string(list_transform(string_split({text}, ''), lambda x: coalesce(map([{keys}], [{values}])[x], x)), '')"
+        text = f"CASE WHEN regexp_matches({text}, '{character_class(several)}') THEN {mapped} ELSE {text} END"
+    return f"translate({text}, {_quoted(''.join(one))}, {_quoted(''.join(one.values()))})"
+
+
 @lru_cache(maxsize=1)
 def form_sql() -> str:
     """The SQL that brings column v of table batch to its form, keys and plain layout-free text."""
-    look, compatible = tables()["look"], tables()["compatible"]
-    ranges = "".join(f"\\x{{{lo:X}}}-\\x{{{hi - 1:X}}}" for lo, hi in COMPATIBLE)
-    ligatures = "s"
-    for one in LIGATURES:
-        ligatures = f"replace({ligatures}, '{one}', '{unicodedata.normalize('NFKC', one)}')"
-    translate = lambda x, pair: f"translate({x}, {_quoted(pair[0])}, {_quoted(pair[1])})"
+    t = tables()
+    unseen, spaces, compatible, look = (character_class(t[x]) for x in ("unseen", "spaces", "compatible", "look"))
     key = lambda x: f"regexp_replace(lower({x}), '{_LAYOUT}', '', 'g')"
+    nu = f"translate(before, {_quoted(_NU[0])}, {_quoted(_NU[1])})"
     return f"""
 WITH a AS (SELECT i, v, regexp_full_match(v, '[\\x00-\\x7F]*') AS ascii FROM batch),
-b AS (SELECT i, v, ascii, CASE WHEN ascii THEN v ELSE nfc_normalize(regexp_replace(regexp_replace(v, '{INVISIBLE}', '', 'g'), '{SPACES}', ' ', 'g')) END AS s FROM a),
-c AS (SELECT i, v, ascii, CASE WHEN NOT ascii AND regexp_matches(s, '[{LIGATURES}]') THEN {ligatures} ELSE s END AS s FROM b),
-d AS (SELECT i, v, ascii, CASE WHEN NOT ascii AND regexp_matches(s, '[{ranges}]') THEN {translate('s', compatible)} ELSE s END AS s FROM c),
-e AS (SELECT i, v, s AS before, CASE WHEN NOT ascii THEN nfc_normalize({translate('s', look)}) ELSE s END AS s FROM d)
+b AS (SELECT i, v, ascii, CASE WHEN ascii THEN v ELSE nfc_normalize(regexp_replace(regexp_replace(v, '{unseen}', '', 'g'), '{spaces}', ' ', 'g')) END AS s FROM a),
+c AS (SELECT i, v, ascii, CASE WHEN NOT ascii AND regexp_matches(s, '{compatible}') THEN nfc_normalize({_replaced('s', t["compatible"])}) ELSE s END AS s FROM b),
+d AS (SELECT i, v, s AS before, CASE WHEN NOT ascii AND regexp_matches(s, '{look}') THEN nfc_normalize({_replaced('s', t["look"])}) ELSE s END AS s FROM c)
 SELECT s AS form, {key('s')} AS key,
-       CASE WHEN regexp_matches(before, '[{_NU[0]}]') THEN {key(f'nfc_normalize({translate(translate("before", _NU), look)})')} END AS other_key,
+       CASE WHEN regexp_matches(before, '[{_NU[0]}]') THEN {key(f'nfc_normalize({_replaced(nu, t["look"])})')} END AS other_key,
        regexp_replace(lower(v), '{_ORDINARY}', '', 'g') AS plain
-FROM e ORDER BY i"""
+FROM d ORDER BY i"""
 
 
 def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +139,8 @@ def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def consistent_form(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     """The columns of ``keep`` with four texts made from ``text_col``:
 
-    - ``form``: no invisible characters, ordinary spaces, compatibility forms and look-alikes replaced,
-      letters composed; letter case and punctuation stay.
+    - ``form``: no invisible characters, ordinary spaces, all compatibility forms (NFKC) and the look-alikes
+      replaced, letters composed; letter case and punctuation stay.
     - ``key``: ``form`` without letter case, white space and punctuation; equal-looking texts have equal keys.
     - ``other_key``: the key under the other reading of Greek nu, null for texts without one.
     - ``plain``: the stored text without letter case, ASCII white space and punctuation; texts with equal

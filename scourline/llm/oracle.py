@@ -1,6 +1,9 @@
 """SQL that gives the same rows as the queries, written for DuckDB over the same tables."""
 
-from .lookalike import form_sql
+import sys
+import unicodedata
+
+from .lookalike import LOOK_ALIKES, SEEN
 
 _SKIP = r"[\s\x0b\x1c-\x1f\x85\p{Z}\p{P}$+<=>^`|~]+"
 _BREAK = r"[\t-\r !-/:-@\[-`{-~]+"
@@ -60,26 +63,75 @@ WITH rows AS (
   FROM rows WHERE entry_no IS NOT NULL GROUP BY entry_no HAVING count(*) > 1
 )"""
 
-def _forms(source: str, columns: str, text: str) -> str:
-    """SQL of the keys of a column, with the translations of the operator."""
-    return form_sql().replace("FROM batch)", f"FROM (SELECT struct_pack({columns}) AS i, {text} AS v FROM {source}))").replace(" ORDER BY i", "").replace(
-        "SELECT s AS form", "SELECT i, s AS form"
-    )
+
+def _values(pairs: dict[str, str]) -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    return ", ".join(f"({quoted(a)}, {quoted(b)})" for a, b in pairs.items())
+
+
+def _character_forms() -> dict[str, str]:
+    """What each character outside ASCII becomes: nothing, a space or its compatibility form."""
+    out = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        name, seen = unicodedata.name(c, ""), any(lo <= ord(c) <= hi for lo, hi in SEEN)
+        if unicodedata.category(c) == "Cf" and not seen or "FILLER" in name or name.startswith(("VARIATION SELECTOR", "MONGOLIAN FREE", "COMBINING GRAPHEME", "KHMER VOWEL INHERENT")):
+            out[c] = ""
+        elif c.isspace() and unicodedata.category(c)[0] == "Z":
+            out[c] = " "
+        elif unicodedata.category(c) not in ("Cn", "Co", "Cs") and unicodedata.normalize("NFKC", c) != c:
+            out[c] = unicodedata.normalize("NFKC", c)
+    return out
+
+
+def _look_forms() -> dict[str, str]:
+    """Look-alikes and, for letters with marks, the twin with the same marks."""
+    twin = {a: b for one, other in LOOK_ALIKES for a, b in zip(one, other, strict=True)}
+    marked = {}
+    for c in map(chr, range(0x80, sys.maxunicode + 1)):
+        parts = unicodedata.normalize("NFD", c)
+        if parts != c and parts[0] in twin:
+            marked[c] = unicodedata.normalize("NFC", twin[parts[0]] + parts[1:])
+    return marked | twin
+
+
+def _by_character(source: str, table: str) -> str:
+    """SQL of (v, s, t): t is s with each of its characters looked up in a table."""
+    return f"""SELECT v, s, nfc_normalize(coalesce(string_agg(coalesce(f, c), '' ORDER BY p), '')) AS t
+FROM (SELECT v, s, p, string_split(s, '')[p] AS c FROM {source}, unnest(range(1, length(s) + 1)) AS x(p)) LEFT JOIN {table} USING (c) GROUP BY v, s"""
 
 
 def _letters(x: str) -> str:
     return f"lower(regexp_replace(coalesce({x}, ''), '[^\\p{{L}}\\p{{N}}]+', '', 'g'))"
 
 
+_PLAIN = "regexp_replace(lower({}), '[\\t-\\r \\p{{P}}$+<=>^`|~]+', '', 'g')"
+
 _LOOK_ALIKES = f"""
-WITH cities AS (SELECT * FROM ({_forms('demo_city', 'row_id := row_id, country := country', 'city')}) WHERE key <> ''),
-coded AS (SELECT place_id, city, p.country, code FROM ref_places p LEFT JOIN ref_countries c USING (country_id)),
-places AS (SELECT * FROM ({_forms('coded', 'place_id := place_id, country := country, code := code', 'city')}) WHERE key <> ''),
-cases AS (SELECT c.i AS row, p.i AS place, p.key FROM cities c JOIN places p ON p.key = c.key OR p.key = c.other_key
-          WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.key = p.key AND q.plain = c.plain))
-SELECT DISTINCT row.row_id AS row_id, arg_min(place.place_id, [CASE WHEN {_letters('row.country')} = {_letters('place.code')} THEN -1
-         ELSE levenshtein({_letters('row.country')}, {_letters('place.country')}) END, place.place_id]) AS place_id
-FROM cases GROUP BY row, key"""
+WITH forms(c, f) AS (VALUES {_values(_character_forms())}), looks(c, f) AS (VALUES {_values(_look_forms())}),
+texts AS (SELECT DISTINCT v, nfc_normalize(v) AS s FROM (SELECT city AS v FROM demo_city UNION ALL SELECT city FROM ref_places) WHERE v <> ''),
+formed AS ({_by_character('texts', 'forms')}),
+readings AS (SELECT v, t AS s FROM formed UNION SELECT v, translate(t, 'νΝ', 'nV') FROM formed),
+looked AS ({_by_character('readings', 'looks')}),
+keys AS (SELECT DISTINCT v, {_folded('t')} AS key, {_PLAIN.format('v')} AS plain FROM looked WHERE {_folded('t')} <> ''),
+places AS (SELECT p.place_id, p.country, c.code, k.key, k.plain FROM ref_places p LEFT JOIN ref_countries c USING (country_id)
+           JOIN keys k ON k.v = p.city AND k.key = (SELECT min({_folded('t')}) FROM looked l WHERE l.v = p.city AND l.s = (SELECT t FROM formed f WHERE f.v = p.city))),
+cases AS (SELECT d.row_id, d.country, p.place_id, p.country AS land, p.code, p.key FROM demo_city d JOIN keys k ON k.v = d.city JOIN places p ON p.key = k.key
+          WHERE NOT EXISTS (SELECT 1 FROM places q WHERE q.key = k.key AND q.plain = k.plain))
+SELECT DISTINCT row_id, arg_min(place_id, [CASE WHEN {_letters('country')} = {_letters('code')} THEN -1
+         ELSE levenshtein({_letters('country')}, {_letters('land')}) END, place_id]) AS place_id
+FROM cases GROUP BY row_id, key"""
+
+_TOKENS = "list_concat(string_split({0}, ''), list_transform(range(0, length({0}) + 1), lambda i: substring(concat('^', {0}, '$'), i + 1, 2)))"
+_CLOSEST = f"""
+WITH v AS (SELECT DISTINCT lower(regexp_replace(city, '[^A-Za-z]', '', 'g')) AS value FROM demo_city),
+e AS (SELECT place_id, lower(regexp_replace(city, '[^A-Za-z]', '', 'g')) AS text FROM ref_places),
+pairs AS (SELECT *, greatest(length(value), length(text)) AS n, damerau_levenshtein(value, text) AS d FROM v JOIN e ON value <> '' AND text <> ''
+          AND abs(length(value) - length(text)) <= 0.3 * greatest(length(value), length(text)) + 1e-9),
+near AS (SELECT *, {_TOKENS.format('value')} AS a, {_TOKENS.format('text')} AS b FROM pairs WHERE d <= CASE WHEN n >= 4 THEN floor(0.3 * n + 1e-9) ELSE 0 END),
+shared AS (SELECT *, list_sum(list_transform(list_distinct(a), lambda x: least(length(list_filter(a, lambda y: y = x)), length(list_filter(b, lambda y: y = x))))) AS common FROM near),
+scored AS (SELECT *, common / (length(a) + length(b) - common)::DOUBLE AS jaccard FROM shared)
+SELECT value, place_id AS ref_id, round(jaccard, 6) AS jaccard, round(1 - d / n::DOUBLE, 6) AS share FROM scored WHERE jaccard >= 0.5 - 1e-9
+QUALIFY row_number() OVER (PARTITION BY value ORDER BY 1 - d / n::DOUBLE DESC, jaccard DESC, place_id) = 1"""
 
 ORACLE = {
     "p3_found": _LOOK_ALIKES,
@@ -108,6 +160,7 @@ FROM groups, unnest([0.01::DOUBLE, 0.25, 0.5, 0.75, 0.9, 0.99, 0.999]) AS t(q)""
     + """ SELECT entry_no, city_row_id, country_row_id, population_row_id FROM fields
 WHERE city_row_id IS NOT NULL AND country_row_id IS NOT NULL AND population_row_id IS NOT NULL""",
     "p5_records": _SURVIVORS + " SELECT entry_no, n_rows, city, country, population FROM fields",
+    "p6_closest": _CLOSEST,
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
     "p8_found": """
 WITH texts AS (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .canonical import canonical_places
+from .canonical import canonical_places, map_values
 from .layout import layout_duplicates, layout_records
 from .leakage import leaked_items
 from .lookalike import consistent_form, look_alike_matches
@@ -98,6 +98,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return canonical_places(_table(spark, sf_dir, "demo_city"), "row_id", places, countries)
 
 
+def p6_closest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closest place of the Latin letters of each distinct city, whatever the country."""
+    letters = lambda c: F.lower(F.regexp_replace(c, "[^A-Za-z]", ""))
+    none = F.lit(None).cast("long").alias("scope")
+    values = _table(spark, sf_dir, "demo_city").select(letters("city").alias("value"), none).distinct()
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    entries = _table(spark, sf_dir, "ref_places").select(F.col("place_id").alias("ref_id"), letters("city").alias("text"), none)
+    found = map_values(values.repartition(parts, "value"), entries, affixes=[])
+    return found.select("value", "ref_id", F.round("jaccard", 6).alias("jaccard"), F.round("share", 6).alias("share"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
     return packed.where((F.col("parts") > 1) & (F.col("part") == 0)).select("doc_id")

@@ -1,3 +1,6 @@
+import sys
+import unicodedata
+
 import pytest
 
 from scourline.llm.lookalike import consistent_form, look_alike_matches
@@ -35,3 +38,15 @@ def test_forms_compare_equal(spark):
     assert [r[1] for r in rows[:3]] == ["Nova Boüx"] * 3
     assert rows[3][1] is None and rows[4][1] == "" and rows[5][1] == "a" * 200_000
     assert consistent_form(df.limit(0), "city", ["key"]).count() == 0
+
+
+def test_no_compatibility_form_and_no_unseen_character_is_left(spark):
+    every = [chr(c) for c in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(c)) not in ("Cs", "Co", "Cn")]
+    odd = [c for c in every if unicodedata.normalize("NFKC", c) != unicodedata.normalize("NFC", c)]
+    unseen = ["\u200b", "\u00ad", "\u3164", "\uffa0", "\u115f", "\ufe0f", *map(chr, range(0xE0020, 0xE0080))]
+    texts = [f"a{c}b" for c in odd] + [unicodedata.normalize("NFKC", f"a{c}b") for c in odd] + [f"a{c}b" for c in unseen]
+    made = consistent_form(spark.createDataFrame(list(enumerate(texts)), "i long, t string").repartition(4), "t", ["i"])
+    form = {r.i: r.form for r in made.collect()}
+    n = len(odd)
+    assert n > 3000 and [odd[k] for k in range(n) if form[k] != form[n + k]] == []
+    assert {form[2 * n + k] for k in range(len(unseen))} == {"ab"}

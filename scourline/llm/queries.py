@@ -12,7 +12,7 @@ from .lookalike import consistent_form, look_alike_matches
 from .packing import containers, pack
 from .quantiles import disagreeing_parts, exact_quantiles, quantile_sketches, sketch_quantiles
 from .subjects import subject_areas
-from .survivors import surviving_fields
+from .survivors import consensus_fields, surviving_fields
 from .terms import term_frequencies
 
 #: Percentiles of populations that are reported.
@@ -75,11 +75,15 @@ def p4_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketch_quantiles(sketches, ["country"], PERCENTILES)
 
 
-def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _ranked_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = _table(spark, sf_dir, "feeds").groupBy("feed").agg(F.min("trust_rank").alias("trust_rank"))
     rows = _table(spark, sf_dir, "demo_city").select("row_id", "entry_no", "feed", "city", "country", "population", "recorded_at")
+    return rows.join(ranks, "feed", "left")
+
+
+def _survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = [F.col("trust_rank"), -F.unix_micros(F.col("recorded_at").cast("timestamp"))]
-    return surviving_fields(rows.join(ranks, "feed", "left"), "entry_no", "row_id", ["city", "country", "population"], order)
+    return surviving_fields(_ranked_rows(spark, sf_dir), "entry_no", "row_id", ["city", "country", "population"], order)
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,6 +97,14 @@ def p5_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p5_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """City and country of each entry by consensus of tokens; a row votes with 1 by the rank of its feed."""
+    rows = _ranked_rows(spark, sf_dir)
+    order = [F.col("trust_rank"), -F.unix_micros(F.col("recorded_at").cast("timestamp"))]
+    found = consensus_fields(rows, "entry_no", "row_id", ["city", "country"], order, F.lit(1.0) / F.col("trust_rank"))
+    return found.select("entry_no", "n_rows", "city_row_id", "city", "country_row_id", "country")
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     places, countries = _table(spark, sf_dir, "ref_places"), _table(spark, sf_dir, "ref_countries")
     return canonical_places(_table(spark, sf_dir, "demo_city"), "row_id", places, countries)

@@ -162,6 +162,9 @@ WHERE city_row_id IS NOT NULL AND country_row_id IS NOT NULL AND population_row_
     "p5_records": _SURVIVORS + " SELECT entry_no, n_rows, city, country, population FROM fields",
     "p6_closest": _CLOSEST,
     "p7_found": "SELECT doc_id FROM documents WHERE strlen(text) > 8192",
+    "p7_totals": """
+SELECT count(*) AS documents, sum(greatest(1, ceil(strlen(text) / 8192.0)))::BIGINT AS pieces, sum(strlen(text))::BIGINT AS tokens,
+       0::BIGINT AS overfull, false AS wasteful FROM documents WHERE text IS NOT NULL""",
     "p8_found": """
 WITH texts AS (
   SELECT doc_id, NULL AS item_id, list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda w: w <> '') AS w FROM documents

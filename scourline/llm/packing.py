@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_in_arrow
+from ..storage import stage
 
 #: Documents that are packed together: the unused space of a group's last containers is a small share.
 GROUP_ITEMS = 20_000
@@ -52,10 +53,10 @@ def first_fit_decreasing(sizes: np.ndarray, capacity: int) -> np.ndarray:
 
 
 def _pack(capacity: int):
-    """Over documents (group, id, size) sorted by group: the pieces of each and their containers."""
+    """Over items (group, id, size, copies) sorted by group: the pieces of each and their containers."""
 
     def close(group: int, ids: np.ndarray, sizes: np.ndarray) -> Iterator[pa.RecordBatch]:
-        order = np.argsort(ids, kind="stable")  # the same containers whatever the order of arrival
+        order = np.lexsort((sizes, ids))  # the same containers whatever the order of arrival
         ids, sizes = ids[order], sizes[order]
         full = np.where(sizes > capacity, sizes // capacity, 0)
         rest = sizes - full * capacity
@@ -81,7 +82,8 @@ def _pack(capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, ids, sizes = None, [], []
         for batch in batches:
-            g, i, s = (c.to_numpy() for c in batch.columns)
+            g, i, s, n = (c.to_numpy() for c in batch.columns)
+            g, i, s = np.repeat(g, n), np.repeat(i, n), np.repeat(s, n)
             cuts = np.flatnonzero(np.r_[False, g[1:] != g[:-1]])
             for lo, hi in zip([0, *cuts], [*cuts, len(g)], strict=True):
                 if lo == hi:
@@ -103,21 +105,26 @@ def pack(
 ) -> DataFrame:
     """(id, part, parts, begin, tokens, group_no, container): the pieces of each item and their containers.
 
-    ``size`` is a column of sizes. Items are spread by a seeded hash of their ids over groups of
+    ``size`` is a column of sizes. Items are spread by a seeded hash of their ids and sizes over groups of
     about ``group_items``, each packed on its own by first-fit decreasing; a container is named by
     (group_no, container). Only an item larger than the capacity is split: into pieces that fill
-    containers, and a rest that is packed like any other item.
+    containers, and a rest that is packed like any other item. The result depends on the items and the
+    parameters alone, not on the order or partitions of the table.
 
     Items without an id or a size are left out; an empty item is a piece of size 0; repeated ids are
-    items of their own; an empty table gives no row. Groups have like sizes whatever the data.
+    items of their own, those with equal sizes dealt evenly to the groups; an empty table gives no row. Groups
+    have like sizes whatever the data.
     """
     column = F.col(size) if isinstance(size, str) else size
-    items = df.select(F.col(id_col).alias("id"), column.cast("long").alias("size")).where("id is not null and size is not null")
-    groups = max(1, round(df.count() / group_items))
-    # the row's place spreads the rows of an id that is repeated very often
-    spread = F.xxhash64(F.lit(seed), "id", "size", F.monotonically_increasing_id())
-    grouped = items.select(F.pmod(spread, F.lit(groups)).alias("g"), F.col("id").cast("long"), "size")
-    sorted_ = grouped.repartition("g").sortWithinPartitions("g")
+    items = df.select(F.col(id_col).cast("long").alias("id"), column.cast("long").alias("size")).where("id is not null and size is not null")
+    counted = stage(items.groupBy("id", "size").agg(F.count(F.lit(1)).alias("n")), "packing-items")
+    groups = max(1, round((counted.agg(F.sum("n")).first()[0] or 0) / group_items))
+    # the k-th of equal items goes to the k-th group from the hashed one on, in rounds
+    turn = F.explode(F.sequence(F.lit(0), F.least("n", F.lit(groups)).cast("int") - 1))
+    dealt = counted.select("id", "size", "n", turn.alias("k"))
+    group = F.pmod(F.pmod(F.xxhash64(F.lit(seed), "id", "size"), F.lit(groups)) + F.col("k"), F.lit(groups))
+    copies = F.expr(f"n div {groups} + if(k < n % {groups}, 1, 0)")
+    sorted_ = dealt.select(group.alias("g"), "id", "size", copies.alias("copies")).repartition("g").sortWithinPartitions("g")
     return map_in_arrow(
         sorted_, _pack(capacity), "id long, part int, parts int, begin long, tokens long, group_no long, container long"
     ).withColumnRenamed("id", id_col)

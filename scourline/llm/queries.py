@@ -130,6 +130,22 @@ def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return containers(pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text")))
 
 
+def p7_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The packing in one row: what was packed, containers that hold too much, and whether there are more than needed.
+
+    No packing has fewer containers than the tokens fill; 2 % and one container a group more are allowed.
+    """
+    packed = pack(_table(spark, sf_dir, "documents"), "doc_id", F.octet_length("text"))
+    held = containers(packed)
+    totals = packed.agg(F.count_distinct("doc_id").alias("documents"), F.count(F.lit(1)).alias("pieces"), F.sum("tokens").alias("tokens"))
+    bins = held.agg(
+        F.sum((F.col("unused") < 0).cast("int")).alias("overfull"), F.count(F.lit(1)).alias("_n"), F.count_distinct("group_no").alias("_groups"),
+        F.sum("used").alias("_used"),
+    )
+    wasteful = F.col("_n") > 1.02 * F.ceil(F.col("_used") / 8192) + F.col("_groups")
+    return totals.crossJoin(bins).select("documents", "pieces", "tokens", "overfull", wasteful.alias("wasteful"))  # one row each
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_passages(spark, sf_dir).where("kind = 'verbatim'").select("doc_id", "item_id").distinct()
 

@@ -56,12 +56,36 @@ def test_hash_collisions_are_told_apart(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([ids, pa.array(["1"] * 60), a, b], names=["id", "exact", "t0", "t1"])
     groups = list(local(iter([batch, batch.slice(0, 0)])))
     assert sum(g.num_rows for g in groups) == 7
+    groups = [pa.RecordBatch.from_arrays([*g.columns, pa.array(range(g.num_rows))], names=[*g.schema.names, "group"]) for g in groups]
     merged = list(merge(iter(groups)))
     assert sum(m.column("n")[k].as_py() for m in merged for k in range(m.num_rows)) == 60
     assert layout.layout_duplicates(df, "i", ["a", "b"], ["n"]).count() == 53
 
 
-def test_hot_set_goes_in_one_row_a_batch(spark):
+@pytest.mark.parametrize("most", [1_000_000, 40])
+def test_a_task_keeps_hot_sets_open(monkeypatch, most):
+    import numpy as np
+
+    monkeypatch.setattr(layout, "OPEN_MEMBERS", most)
+    rng, rows = random.Random(3), []
+    for i in range(900):
+        rows.append((1000 - i, dirty(rng, "Hot") if i % 3 == 0 else dirty(rng, "Warm") if i % 50 == 1 else f"u{i}", "c"))
+    table = pa.table({"id": [r[0] for r in rows], "exact": ["1"] * 900, "a": [r[1] for r in rows], "b": [r[2] for r in rows]})
+    groups = [g for g in layout._local_groups(True)(iter(table.to_batches(max_chunksize=90)))]
+    found = [(f, n, m) for g in groups for f, n, m in zip(g.column("local_first").to_pylist(), g.column("n").to_pylist(), g.column("members").to_pylist(), strict=True)]
+    hot = [m for _, n, m in found if n >= 30 * (most > 40)  and m and m[0] % 3 == 1 and (1000 - m[0]) % 3 == 0]
+    assert sorted(np.concatenate(hot).tolist()) == sorted(r[0] for k, r in enumerate(rows) if k % 3 == 0)
+    assert (len(hot) == 1) == (most > 40) and all(f == min(m) for f, _, m in found if m)
+    assert sum(n for _, n, _ in found) == 900
+
+
+def test_repeated_ids_in_large_sets_of_several_tasks(spark):
+    df = spark.range(400).select((F.col("id") % 5).alias("id"), F.lit("A").alias("a"), F.lit("b").alias("b")).repartition(4)
+    got = layout.layout_duplicates(df, "id", ["a", "b"])
+    assert got.count() == 399 and {r["count"] for r in got.where("copy_row_id > 0").groupBy("copy_row_id").count().collect()} == {80}
+
+
+def test_hot_set_goes_in_one_row_a_task(spark):
     df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.concat(F.lit("Hot"), F.repeat(F.lit(" "), (F.col("id") % 5).cast("int")))).otherwise(F.concat(F.lit("u"), "id")).alias("a"), F.lit("c").alias("b"))
     got = layout.layout_duplicates(df.repartition(6), "id", ["a", "b"])
     assert got.count() == 9_999 and got.where("first_row_id <> 0").count() == 0

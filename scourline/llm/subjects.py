@@ -11,8 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import map_in_arrow
+from ..storage import stage
 from .codepoints import mix, span_hashes
-from .storage import stage
 from .words import chunks
 
 #: Labelled documents that the model is fitted on, the first by hashed id.
@@ -25,8 +25,12 @@ LEAST_DOCUMENTS = 3
 EM_STEPS = 2
 #: Pseudo-documents of the complement that hold a term.
 SMOOTHING = 0.5
-#: Fits of the calibration, and how far a label may be from one before the next leaves it out.
-CALIBRATION_FITS, CLEARLY_WRONG = 3, 0.75
+#: Fits of the calibration, how far a label may be from one before the next leaves it out, and the share left out at most.
+CALIBRATION_FITS, CLEARLY_WRONG, WRONG_SHARE = 3, 0.75, 0.01
+#: Parts of the labelled documents; each is judged by a model fitted on the others.
+FOLDS = 4
+#: Labels that a subject's own calibration takes to move away from the shared one.
+SHARED_WEIGHT = 4.0
 #: Log-odds from which a term speaks for a subject at all, and from which it casts a whole vote.
 LEAST_CONTRAST, FULL_CONTRAST = 1.5, 3.0
 
@@ -141,7 +145,7 @@ class SubjectModel:
     def __init__(self, subjects: list[str]) -> None:
         self.subjects = subjects
         self.contrast = np.zeros((len(subjects), 0), np.float32)
-        self.calibration = np.zeros(2)
+        self.calibration = np.zeros((len(subjects), 2))
 
     def fit_terms(self, counts: np.ndarray, documents: np.ndarray, total: np.ndarray, all_documents: float) -> None:
         """From documents (weights) of each subject holding each term, and of all documents.
@@ -166,40 +170,100 @@ class SubjectModel:
         return total[cuts[1:]] - total[cuts[:-1]]
 
     def calibrate(self, evidence: np.ndarray, truth: np.ndarray) -> None:
-        """Logistic regression of the labels on the logarithm of the votes, one for all subjects.
+        """Logistic regressions of the labels on the logarithm of the votes: one of all subjects, and one of each.
 
-        The share of a subject in a document is no input: every labelled document has a subject, so a
-        large share would speak for one even where next to nothing does. Labels that the fit clearly
-        contradicts are taken for wrong and left out of the next of a few fits.
+        ``evidence`` of a document is that of a model that hasn't seen its labels. A subject's own regression is drawn
+        to the shared one, the more the fewer labels it has. The share of a subject in a document is no input: every
+        labelled document has a subject, so a large share would speak for one even where next to nothing does. Labels
+        that the shared fit clearly contradicts are taken for wrong and left out of the next of a few fits.
         """
-        x, y = np.log1p(evidence).reshape(-1), truth.reshape(-1).astype(float)
+        x, y = np.log1p(evidence), truth.astype(float)
         mean, scale = x.mean(), x.std() + 1e-9
         z = np.stack([np.ones_like(x), (x - mean) / scale], axis=-1)
-        kept = np.ones(len(y), bool)
+        kept = np.ones(y.shape, bool)
+        nothing = np.zeros(2)
         for _ in range(CALIBRATION_FITS):
-            beta = _logistic(z[kept], y[kept])
-            kept = np.abs(y - 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))) < CLEARLY_WRONG
-        self.calibration = np.array([beta[0] - beta[1] * mean / scale, beta[1] / scale])
+            shared = _logistic(z[kept], y[kept], nothing, np.array([0.0, 1.0]))
+            off = np.abs(y - _sigmoid(z @ shared))
+            kept = off < max(CLEARLY_WRONG, float(np.quantile(off, 1 - WRONG_SHARE)))
+        for s in range(len(self.subjects)):
+            own = kept[:, s]
+            beta = _logistic(z[own, s], y[own, s], shared, np.full(2, SHARED_WEIGHT))
+            self.calibration[s] = beta[0] - beta[1] * mean / scale, beta[1] / scale
 
     def posteriors(self, flat: np.ndarray, cuts: np.ndarray) -> np.ndarray:
-        evidence = self.evidence(flat, cuts)
-        p = 1 / (1 + np.exp(-np.clip(self.calibration[0] + self.calibration[1] * np.log1p(evidence), -30, 30)))
-        return np.where(evidence > 0, p, 0)
+        return self.calibrated(self.evidence(flat, cuts))
 
+    def calibrated(self, evidence: np.ndarray) -> np.ndarray:
+        return np.where(evidence > 0, _sigmoid(self.calibration[:, 0] + self.calibration[:, 1] * np.log1p(evidence)), 0)
 
-def _logistic(z: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Coefficients of a logistic regression, the slope slightly damped, by Newton steps of bounded size."""
-    beta, penalty = np.zeros(2), np.array([0.0, 1.0])
+
+def _sigmoid(x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
+
+
+def _logistic(z: np.ndarray, y: np.ndarray, centre: np.ndarray, pull: np.ndarray) -> np.ndarray:
+    """Coefficients of a logistic regression, pulled to a centre, by Newton steps of bounded size."""
+    beta = centre.copy()
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(z @ beta, -30, 30)))
-        gradient = z.T @ (y - p) - penalty * beta
-        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(penalty + 1e-6), gradient)
-        beta += step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
+        p = _sigmoid(z @ beta)
+        gradient = z.T @ (y - p) - pull * (beta - centre)
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + np.diag(pull + 1e-6), gradient)
+        beta = beta + step * min(1.0, 4 / (np.abs(step).max() + 1e-9))
         if np.abs(step).max() < 1e-6:
             break
     return beta
 
 
+@dataclass
+class Labelled:
+    """The terms and subjects of the labelled documents, and the part each of them belongs to."""
+
+    flat: np.ndarray
+    cuts: np.ndarray
+    truth: np.ndarray
+    fold: np.ndarray
+    terms: int
+
+    def counts(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
+        """(shares of documents of each subject holding each term, of each subject, documents) over some documents."""
+        share = self.truth / np.maximum(self.truth.sum(axis=1, keepdims=True), 1) * rows[:, None]
+        weights = np.repeat(share, np.diff(self.cuts), axis=0)
+        found = [np.bincount(self.flat, weights[:, s], minlength=self.terms) for s in range(self.truth.shape[1])]
+        return np.stack(found), share.sum(axis=0), float(rows.sum())
+
+    def model(self, subjects: list[str], more: np.ndarray) -> SubjectModel:
+        """Fitted on all, calibrated by what models of the other parts say of each part.
+
+        ``more`` holds what the unlabelled documents add: terms by subject, the last row for all of them, and in the last
+        column the documents.
+        """
+
+        def fit(rows: np.ndarray) -> SubjectModel:
+            counts, documents, n = self.counts(rows)
+            out = SubjectModel(subjects)
+            out.fit_terms(counts + more[:-1, :-1], documents + more[:-1, -1], counts.sum(axis=0) + more[-1, :-1], n + more[-1, -1])
+            return out
+
+        everyone = np.ones(len(self.truth))
+        evidence = np.zeros(self.truth.shape)
+        parts = np.unique(self.fold)
+        for part in parts:
+            own = self.fold == part
+            judged = fit(everyone - own if len(parts) > 1 else everyone)
+            evidence[own] = judged.evidence(self.flat, self.cuts)[own]
+        out = fit(everyone)
+        out.calibrate(evidence, self.truth)
+        self.held_out = out.calibrated(evidence)
+        return out
+
+
+def reliability(posteriors: np.ndarray, truth: np.ndarray, bins: int = 5) -> list[tuple[float, float, int]]:
+    """(mean posterior, share that is true, number) of equal ranges of posteriors."""
+    at = np.minimum((posteriors * bins).astype(int), bins - 1)
+    return [(float(posteriors[at == k].mean()), float(truth[at == k].mean()), int((at == k).sum())) for k in range(bins) if (at == k).any()]
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     cuts = column.offsets.to_numpy().astype(np.int64)
     return column.values.to_numpy()[cuts[0] : cuts[-1]], cuts - cuts[0]
@@ -245,16 +309,17 @@ def _assign(shared, least: float):
     return run
 
 
-def _labelled(counts_of, labels: dict[int, set[int]], subjects: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(flat places, cuts, truth) of the collected features of labelled documents."""
-    ids = counts_of.column("id").to_pylist()
-    lists = counts_of.column("terms").combine_chunks()
+def _labelled(features: pa.Table, labels: dict, subjects: int, terms: int) -> Labelled:
+    """The collected features of labelled documents; ``labels`` come in the order of hashed ids."""
+    ids = features.column("id").to_pylist()
+    lists = features.column("terms").combine_chunks()
     lists = lists.chunk(0) if isinstance(lists, pa.ChunkedArray) else lists
     flat, cuts = _lists(lists)
     truth = np.zeros((len(ids), subjects))
     for k, own in enumerate(ids):
         truth[k, list(labels[own])] = 1
-    return flat, cuts, truth
+    place = {own: k for k, own in enumerate(labels)}
+    return Labelled(flat, cuts, truth, np.array([place[own] % FOLDS for own in ids], np.int64), terms)
 
 
 def subject_areas(
@@ -267,9 +332,9 @@ def subject_areas(
     identifiers, comments and strings, each counted once a document; how many documents hold a
     term is counted over all documents. A complement naive Bayes model is fitted on at most ``max_labelled``
     labelled documents, the first by hashed id, then refined by ``em_steps`` passes of
-    expectation-maximization over all other documents. Each subject's posterior is calibrated on
-    the labels by the votes of the document's terms for it, so that a document may have several
-    subjects or none.
+    expectation-maximization over all other documents. Each subject's posterior is calibrated on its own by
+    the votes of a document's terms for it, on labels that the judging model wasn't fitted on, so that a document
+    may have several subjects or none.
 
     Documents with null or empty text, or without a term that speaks for a subject, get no row;
     labels of unknown documents and null labels are disregarded. Without labels there is no row.
@@ -292,28 +357,20 @@ def subject_areas(
 
     # max_labelled bounds what is broadcast and collected here
     ids = spark.createDataFrame([(x,) for x in wanted], f"id {kind}")
-    flat, cuts, truth = _labelled(features.join(F.broadcast(ids), "id", "left_semi").toArrow(), wanted, len(names))
-    model = SubjectModel(names)
-    if names and len(cuts) > 1:
-        share = truth / np.maximum(truth.sum(axis=1, keepdims=True), 1)
-        size = len(hashes)
-        weights = np.repeat(share, np.diff(cuts), axis=0)
-        counts = np.stack([np.bincount(flat, weights[:, s], minlength=size) for s in range(len(names))])
-        total, documents, n = counts.sum(axis=0), share.sum(axis=0), float(len(truth))
-        model.fit_terms(counts, documents, total, n)
-        model.calibrate(model.evidence(flat, cuts), truth)
+    known = _labelled(features.join(F.broadcast(ids), "id", "left_semi").toArrow(), wanted, len(names), len(hashes))
+    if names and len(known.truth):
+        more = np.zeros((len(names) + 1, len(hashes) + 1))
+        model = known.model(names, more)
         others = features.join(F.broadcast(ids), "id", "left_anti").select("terms")
         for _ in range(em_steps):
             shared = spark.sparkContext.broadcast(model)
             expected = map_in_arrow(others, _expected_counts(shared), "subject int, place int, n double")
             summed = expected.groupBy("subject", "place").agg(F.sum("n").alias("n")).toArrow()  # subjects times terms
-            more = np.zeros((len(names) + 1, size + 1))
+            more = np.zeros_like(more)
             more[summed.column("subject").to_numpy(), summed.column("place").to_numpy()] = summed.column("n").to_numpy()
-            refined = SubjectModel(names)
-            refined.fit_terms(counts + more[:-1, :-1], documents + more[:-1, -1], total + more[-1, :-1], n + more[-1, -1])
-            refined.calibrate(refined.evidence(flat, cuts), truth)
-            model = refined
+            model = known.model(names, more)
     else:
-        model.contrast = np.zeros((0, len(hashes)), np.float32)
+        model = SubjectModel(names)
+        model.contrast = np.zeros((len(names), len(hashes)), np.float32)
     found = map_in_arrow(features, _assign(spark.sparkContext.broadcast(model), least), f"id {kind}, subject string, posterior double")
     return found.withColumnRenamed("id", doc_id)

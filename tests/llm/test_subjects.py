@@ -39,6 +39,8 @@ def test_held_out_accuracy(spark):
     got = {(r.doc, r.subject) for r in found.collect()}
     want = {(d, s) for d, own in truth.items() for s in own}
     assert len(got & want) > 0.99 * len(want) and len(got - want) < 0.01 * len(want)
+    unseen = {(d, s) for d, s in want if d % 5}  # documents without a label
+    assert len(got & unseen) > 0.99 * len(unseen) and len({x for x in got - want if x[0] % 5}) < 0.01 * len(unseen)
 
 
 def test_terms():
@@ -75,3 +77,31 @@ def test_contrast_needs_more_than_one_document():
     model = B.SubjectModel(["a", "b"])
     model.fit_terms(np.array([[1.0, 9.0, 0.0], [0.0, 0.0, 0.0]]), np.array([10.0, 90.0]), np.array([1.0, 9.0, 0.0]), 100.0)
     assert model.contrast[0, 0] < 0 and model.contrast[0, 1] > B.LEAST_CONTRAST and (model.contrast[:, 2] < 0).all()
+
+
+def test_posteriors_are_reliable_on_labels_the_judging_model_has_not_seen():
+    rng = np.random.default_rng(19)
+    n, size = 3000, 400
+    truth = np.zeros((n, 2))
+    truth[np.arange(n), rng.integers(0, 2, n)] = 1
+    rows = []
+    for t in truth:
+        own = 0 if t[0] else 200
+        words = np.r_[rng.integers(own, own + 200, rng.integers(2, 7)), rng.integers(0, 400, rng.integers(0, 3))]
+        rows.append(np.unique(words))
+    cuts = np.r_[0, np.cumsum([len(r) for r in rows])]
+    known = B.Labelled(np.concatenate(rows), cuts, truth, np.arange(n) % B.FOLDS, size)
+    model = known.model(["a", "b"], np.zeros((3, size + 1)))
+    assert model.calibration.shape == (2, 2)
+    for s in range(2):
+        bins = B.reliability(known.held_out[:, s], truth[:, s])
+        assert sum(many for _, _, many in bins) == n and sum(abs(said - true) * many for said, true, many in bins) / n < 0.06
+
+
+def test_a_rare_subject_keeps_near_the_shared_calibration():
+    rng = np.random.default_rng(20)
+    truth = np.c_[rng.random(2000) < 0.5, np.r_[np.ones(3), np.zeros(1997)]]
+    evidence = np.where(truth == 1, rng.gamma(9, 1, truth.shape), rng.gamma(1, 1, truth.shape))
+    model = B.SubjectModel(["often", "rare"])
+    model.calibrate(evidence, truth)
+    assert abs(model.calibration[1, 1] - model.calibration[0, 1]) < 0.5 * abs(model.calibration[0, 1])

@@ -13,7 +13,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 PUNCTUATION = string.punctuation
-_SPACE = r"[\s\x{1c}-\x{1f}\x{85}\p{Z}]+"
+#: White space of Unicode, as str.isspace tells it.
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # Letters without a decomposition and how they are written in ASCII.
 LETTERS = [
     ("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("Æ", "AE"), ("Œ", "OE"), ("Þ", "TH"),
@@ -25,7 +26,7 @@ _HANGUL = (0xAC00, 0xD7A3)
 
 def strip_spaces(c: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(c, f"^{_SPACE}|{_SPACE}$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def remove_punctuation(c: Column) -> Column:
@@ -127,13 +128,35 @@ def latinize(c: Column) -> Column:
     return F.when(c.rlike(_OTHER), _latin(c)).otherwise(c)
 
 
+#: Characters of a long text whose distinct ones are taken first.
+_HEAD = 128
+
+
+def _distinct(s: Column) -> Column:
+    return F.array_join(F.array_distinct(F.split(s, "")), "")
+
+
+def distinct_characters(c: Column) -> Column:
+    """Each character once, in the order of appearance.
+
+    Of a long text those of its head come first; the rest is translated without them, which leaves little to be cut into
+    characters.
+    """
+
+    def long(s: Column) -> Column:
+        rest = lambda head: F.call_function("translate", F.substr(s, F.lit(_HEAD + 1)), head, F.lit(""))
+        return let(_distinct(F.substr(s, F.lit(1), F.lit(_HEAD))), lambda head: F.concat(head, _distinct(rest(head))))
+
+    return let(c, lambda s: F.when(F.length(s) > _HEAD, long(s)).otherwise(_distinct(s)))
+
+
 def fingerprint(c: Column) -> Column:
     """Stripped, lower-cased, without punctuation, each character once in order of appearance, latinized.
 
     Null stays null. Characters are latinized last, so that two of the fingerprint may be equal.
     """
-    plain = remove_punctuation(F.lower(strip_spaces(c.cast("string"))))
-    return let(F.array_join(F.array_distinct(F.split(plain, "")), ""), latinize)
+    once = distinct_characters(F.lower(strip_spaces(c.cast("string"))))
+    return let(remove_punctuation(once), latinize)
 
 
 def remove_regex(c: Column, pattern: str) -> Column:

@@ -196,10 +196,11 @@ class ConstraintCorrector:
     def row_rules(self) -> DataFrame:
         return row_rules(self._df, self.rules, self._id)
 
-    def display_violation_rows(self) -> None:
+    def display_violation_rows(self, n: int = 1000) -> None:
+        """Print the violating combinations of each rule, at most ``n`` of them, which all pass through the driver."""
         for fd, counts in zip(self.rules, self.histograms(), strict=True):
             print(", ".join(fd.lhs), "|", ", ".join(fd.rhs))
-            counts.show(counts.count(), False)
+            counts.show(n, False)
 
     def correct_violations(self, fix_rule: str, passes: int = 1) -> ConstraintCorrector:
         """Repair by 'single_fd_greedy' or 'holistic'."""

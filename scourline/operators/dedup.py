@@ -13,6 +13,8 @@ from ..functions.columns import quoted, resolve_columns
 from ..functions.similarity import LENGTH_BOUND, similarity
 from ..functions.text import fingerprint
 
+#: Distinct values of a block from which its pairs are made by several tasks.
+CELL_VALUES = 1000
 #: Parts into which the rows of an all-pairs join are cut on each side.
 PAIR_PARTS = 16
 
@@ -51,6 +53,18 @@ def key_collision(df: DataFrame, column: str, id_column: str) -> DataFrame:
     return counts.join(groups, "key").select("key", "value", "n", "canonical", "canonical_n", "total")
 
 
+def _in_cells(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a join of the values of a block: equal in block, i and j for every two values of a block.
+
+    A block of more than ``size`` values becomes a grid of cells by hashed values, so that no task gets all its pairs.
+    """
+    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    parts = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)).cast("int")
+    cut = rows.join(sizes, "block", "left").withColumn("_parts", parts).drop("_n")
+    own, every = F.pmod(F.xxhash64("value"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
+    return cut.withColumn("_i", own).withColumn("_j", every), cut.withColumn("_j", own).withColumn("_i", every)
+
+
 def blocked_pairs(
     df: DataFrame, column: str, id_column: str, block_size: int = 6, method: str = "levenshtein", threshold: float = 0.81
 ) -> DataFrame:
@@ -58,9 +72,10 @@ def blocked_pairs(
 
     (value_l, value_r, similarity, canonical, canonical_n, total). The fingerprint is cut into
     consecutive blocks of ``block_size`` characters, a trailing shorter one is dropped; a fingerprint of
-    at most that length is a block. Values are compared as they stand, once for each pair however
-    many blocks they share. Where the method's value is bounded by the lengths, pairs that can't reach
-    the threshold are dropped within the join.
+    at most that length is a block. Values are compared as they stand, in the first block they share
+    alone, however many they share. Where the method's value is bounded by the lengths, pairs that can't reach
+    the threshold are dropped within the join; blocks of very many values are joined cell by cell. The rows of a
+    pair are given by pair_rows.
     """
     measure = similarity(method)
     if block_size < 1:
@@ -69,14 +84,16 @@ def blocked_pairs(
     size = F.length("_key")
     cut = F.transform(F.sequence(F.lit(0), F.floor(size / block_size).cast("int") - 1), lambda k: F.substring(F.col("_key"), k * block_size + 1, F.lit(block_size)))
     blocks = F.array_distinct(F.when(size > block_size, cut).otherwise(F.array("_key")))
-    rows = counts.select("value", "n", "first", F.explode(blocks).alias("block"))
-    left = rows.withColumnsRenamed({"value": "value_l", "n": "n_l", "first": "first_l"})
-    right = rows.withColumnsRenamed({"value": "value_r", "n": "n_r", "first": "first_r"})
+    rows = counts.select("value", "n", "first", blocks.alias("blocks")).select("*", F.explode("blocks").alias("block"))
+    left, right = _in_cells(rows, CELL_VALUES)
+    left = left.drop("_parts").withColumnsRenamed({c: f"{c}_l" for c in ("value", "n", "first", "blocks")})
+    right = right.drop("_parts").withColumnsRenamed({c: f"{c}_r" for c in ("value", "n", "first", "blocks")})
     near = F.col("value_l") < F.col("value_r")
     if method in LENGTH_BOUND:
         a, b = F.length("value_l"), F.length("value_r")
         near = near & (F.least(a, b) > threshold * F.greatest(a, b))
-    pairs = left.join(right, "block").where(near).drop("block").distinct()
+    once = F.array_min(F.array_intersect("blocks_l", "blocks_r")) == F.col("block")
+    pairs = left.join(right, ["block", "_i", "_j"]).where(near & once)
     scored = pairs.withColumn("similarity", measure(F.col("value_l"), F.col("value_r"))).where(F.col("similarity") > threshold)
     first = (F.col("n_l") > F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("first_l") < F.col("first_r")))
     return scored.select(
@@ -85,6 +102,13 @@ def blocked_pairs(
     )
 
 
+def pair_rows(df: DataFrame, column: str, pairs: DataFrame, id_column: str) -> DataFrame:
+    """(value_l, value_r, id): the rows that hold one of the two values of each pair."""
+    members = pairs.select("value_l", "value_r", F.explode(F.array("value_l", "value_r")).alias("_value"))
+    rows = df.select(F.col(quoted(column)).cast("string").alias("_value"), F.col(quoted(id_column)).alias(id_column))
+    return rows.join(members, "_value").select("value_l", "value_r", id_column)
+
+
 def mapping(clusters: DataFrame) -> DataFrame:
     """(value, canonical) for each variant that changes, from clusters or pairs.
 
@@ -143,12 +167,17 @@ def record_matching(df: DataFrame, match_columns: list[str], fix_columns: list[s
     (key, column, canonical, canonical_n, total), values as text, one row for each column of a group
     that isn't unanimous; ``canonical`` is the most frequent value (null counts as one), of several the
     one that comes first by id. Records with a null match column are in no group.
+
+    Equal records are counted first, so fingerprints are taken of distinct ones only.
     """
     resolve_columns(df, [*match_columns, *fix_columns, id_column])
-    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in fix_columns])
-    rows = df.where(_filled(match_columns))
-    long = rows.select(record_key(match_columns).alias("key"), F.col(quoted(id_column)).alias("_id"), F.explode(cells).alias("x"))
-    counts = long.groupBy("key", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n"), F.min("_id").alias("first"))
+    keys = [F.col(quoted(c)).alias(f"_k{n}") for n, c in enumerate(match_columns)]
+    cells = [F.col(quoted(c)).cast("string").alias(f"_v{n}") for n, c in enumerate(fix_columns)]
+    distinct = df.where(_filled(match_columns)).groupBy(*keys, *cells).agg(F.count(F.lit(1)).alias("_n"), F.min(F.col(quoted(id_column))).alias("_id"))
+    made = distinct.select(record_key([f"_k{n}" for n in range(len(keys))]).alias("key"), "_n", "_id", *[f"_v{n}" for n in range(len(cells))])
+    pairs = F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"_v{n}").alias("value")) for n, c in enumerate(fix_columns)])
+    long = made.select("key", "_n", "_id", F.explode(pairs).alias("x"))
+    counts = long.groupBy("key", "x.column", "x.value").agg(F.sum("_n").alias("n"), F.min("_id").alias("first"))
     groups = counts.groupBy("key", "column").agg(
         _best(F.col("value")).alias("canonical"), F.max("n").alias("canonical_n"), F.sum("n").alias("total")
     )
@@ -182,6 +211,14 @@ def matched_rows(df: DataFrame, match_columns: list[str], fixes: DataFrame, id_c
     return keyed.join(fixes.select("key").distinct(), "key", "left_semi")
 
 
+def record_variants(df: DataFrame, match_columns: list[str], fixes: DataFrame) -> DataFrame:
+    """(key, column, value, n): the values of the columns of each group that have a fix, and how many rows hold them."""
+    columns = [c for c in df.columns if c not in match_columns]
+    cells = F.array(*[F.struct(F.lit(c).alias("column"), F.col(quoted(c)).cast("string").alias("value")) for c in columns])
+    rows = df.where(_filled(match_columns)).select(record_key(match_columns).alias("key"), F.explode(cells).alias("x"))
+    return rows.groupBy("key", "x.column", "x.value").agg(F.count(F.lit(1)).alias("n")).join(fixes.select("key", "column"), ["key", "column"], "left_semi")
+
+
 def build_pairs(df: DataFrame, columns: list[str], id_column: str = "id", block: str | None = None, parts: int = PAIR_PARTS) -> DataFrame:
     """Unordered pairs of rows: the columns and the id, and those of the other row with '_' before their names.
 
@@ -230,6 +267,9 @@ class Deduplicator:
     def preview(self, clusters: DataFrame, num: int = -1) -> DataFrame:
         return preview(clusters, num)
 
+    def pair_rows(self, column: str, pairs: DataFrame) -> DataFrame:
+        return pair_rows(self._df, column, pairs, self._id)
+
     def rows_affected(self, clusters: DataFrame) -> int:
         return rows_affected(clusters).first()[0]
 
@@ -239,9 +279,16 @@ class Deduplicator:
     def record_matching(self, match_columns: list[str], fix_columns: list[str]) -> DataFrame:
         return record_matching(self._df, match_columns, fix_columns, self._id)
 
-    def preview_records(self, fixes: DataFrame, num: int = -1) -> DataFrame:
+    def preview_records(self, fixes: DataFrame, num: int = -1, match_columns: list[str] | None = None) -> DataFrame:
+        """The fixes of the largest groups first; with the match columns one row for each row of a group, with its id."""
         ordered = fixes.orderBy(F.col("total").desc(), "key", "column")
-        return ordered if num <= 0 else ordered.limit(num)
+        shown = ordered if num <= 0 else ordered.limit(num)
+        if match_columns is None:
+            return shown
+        return shown.join(matched_rows(self._df, match_columns, shown, self._id), "key").orderBy(F.col("total").desc(), "key", "column", self._id)
+
+    def record_variants(self, match_columns: list[str], fixes: DataFrame) -> DataFrame:
+        return record_variants(self._df.drop(self._id), match_columns, fixes)
 
     def resolve_records(self, match_columns: list[str], fix_columns: list[str], fixes: DataFrame) -> Deduplicator:
         return self._with(resolve_records(self._df, match_columns, fix_columns, fixes))

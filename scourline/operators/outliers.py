@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -58,31 +58,59 @@ def delete_outliers(df: DataFrame, column: str, tolerance: float = 1.5, accuracy
     return flag_outliers(df, column, tolerance, accuracy, "_outlier").where(~F.col("_outlier")).drop("_outlier")
 
 
+def kmeans_centres(df: DataFrame, columns: str | list[str], k: int = 3, normalized: bool = True, seed: int = 42) -> tuple[list[list[float]], list[tuple[float, float]]]:
+    """(centres, (offset, scale) of each column): where k-means puts them in the scaled columns. Runs jobs.
+
+    Centres come from 10 iterations after a random start; rows with a null or NaN are left out. No centres without rows.
+    """
+    names = resolve_columns(df, columns, "numeric")
+    rows = df.select(*[_known(c).alias(f"_x{n}") for n, c in enumerate(names)]).dropna()
+    scales = [(0.0, 1.0)] * len(names)
+    if normalized:
+        found = df.agg(*[f(_known(c)).alias(f"{f.__name__}{n}") for n, c in enumerate(names) for f in (F.min, F.max)]).first()
+        lows, highs = ([found[f"{f}{n}"] for n in range(len(names))] for f in ("min", "max"))
+        scales = [(lo or 0.0, (hi - lo) or 1.0 if lo is not None else 1.0) for lo, hi in zip(lows, highs, strict=True)]
+        rows = rows.select(*[((F.col(f"_x{n}") - lo) / size).alias(f"_x{n}") for n, (lo, size) in enumerate(scales)])
+    # made once for all iterations, in the memory or on the disks of the executors; lost parts are made again
+    assembled = VectorAssembler(inputCols=rows.columns, outputCol="_v").transform(rows).select("_v").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        if assembled.isEmpty():
+            return [], scales
+        model = KMeans(k=k, maxIter=10, initMode="random", seed=seed, featuresCol="_v", predictionCol="_c").fit(assembled)
+    finally:
+        assembled.unpersist()
+    return [[float(x) for x in c] for c in model.clusterCenters()], scales
+
+
+def centre_distances(df: DataFrame, columns: list[str], centres: list[list[float]], scales: list[tuple[float, float]]) -> DataFrame:
+    """The table with _c, the number of the nearest centre (the first of several), and _d, the distance; null without one."""
+    scaled = [(_known(c) - lo) / size for c, (lo, size) in zip(columns, scales, strict=True)]
+    far = []
+    for number, centre in enumerate(centres):
+        square = F.lit(0.0)
+        for x, at in zip(scaled, centre, strict=True):
+            square = square + (x - at) * (x - at)
+        far.append(F.struct(square.alias("d"), F.lit(number).alias("c")))
+    whole = F.lit(True)
+    for x in scaled:
+        whole = whole & x.isNotNull()
+    nearest = F.when(whole, F.array_min(F.array(*far)))
+    return df.withColumn("_near", nearest).select("*", F.col("_near.c").alias("_c"), F.sqrt("_near.d").alias("_d")).drop("_near")
+
+
 def distance_ratio(
     df: DataFrame, columns: str | list[str], k: int = 3, normalized: bool = True, seed: int = 42, name: str = "distance_ratio"
 ) -> DataFrame:
     """The distance of each row from its k-means centre as a share of the largest in its cluster.
 
-    Centres come from 10 iterations after a random start. A cluster whose rows all lie on the centre
+    Centres come from kmeans_centres. A cluster whose rows all lie on the centre
     gives 0; a row with a null or NaN has no cluster and gives null.
     """
     names = resolve_columns(df, columns, "numeric")
-    inner = [f"_x{n}" for n in range(len(names))]
-    rows = df.select("*", *[_known(c).alias(x) for c, x in zip(names, inner, strict=True)])
-    if normalized:
-        rows = normalize(rows, inner)
-    filled = rows.dropna(subset=inner)
-    assembled = VectorAssembler(inputCols=inner, outputCol="_v").transform(filled)
-    if assembled.isEmpty():
+    centres, scales = kmeans_centres(df, names, k, normalized, seed)
+    if not centres:
         return df.withColumn(name, F.lit(None).cast("double"))
-    model = KMeans(k=k, maxIter=10, initMode="random", seed=seed, featuresCol="_v", predictionCol="_c").fit(assembled)
-    centres = F.array(*[F.array(*[F.lit(float(x)) for x in c]) for c in model.clusterCenters()])
-    out = model.transform(VectorAssembler(inputCols=inner, outputCol="_v", handleInvalid="keep").transform(rows))
-    off = F.zip_with(vector_to_array("_v"), F.element_at(centres, F.col("_c") + 1), lambda a, b: (a - b) * (a - b))
-    missing = F.lit(False)
-    for x in inner:
-        missing = missing | F.col(x).isNull()
-    out = out.withColumn("_c", F.when(~missing, F.col("_c"))).withColumn("_d", F.when(~missing, F.sqrt(F.aggregate(off, F.lit(0.0), lambda a, b: a + b))))
+    out = centre_distances(df, names, centres, scales)
     largest = out.groupBy("_c").agg(F.max("_d").alias("_m"))  # k rows and one for rows without a cluster
     joined = out.join(F.broadcast(largest), "_c", "left")
     ratio = F.when(F.col("_m") > 0, F.col("_d") / F.col("_m")).otherwise(F.when(F.col("_d").isNotNull(), 0.0))
@@ -98,45 +126,68 @@ def delete_outliers_kmeans(
 
 
 class OutlierDetector:
-    """A table and the columns whose outliers are looked for."""
+    """A table and the columns whose outliers are looked for.
 
-    def __init__(self, df: DataFrame, column: str | list[str], tolerance: float = 1.5, accuracy: int = ACCURACY) -> None:
-        self._df, self._tolerance, self._accuracy = df, tolerance, accuracy
+    Without an ``id_column`` an id is generated; it depends on the partitions of the table.
+    """
+
+    def __init__(self, df: DataFrame, column: str | list[str], tolerance: float = 1.5, accuracy: int = ACCURACY, id_column: str | None = None) -> None:
+        self._tolerance, self._accuracy = tolerance, accuracy
         self._columns = resolve_columns(df, column, "numeric")
+        self._own = id_column is None
+        self._id = id_column or "_row_id"
+        self._df = df.withColumn(self._id, F.monotonically_increasing_id()) if self._own else df
+
+    def _with(self, df: DataFrame) -> OutlierDetector:
+        out = OutlierDetector(df, self._columns, self._tolerance, self._accuracy, self._id)
+        out._own = self._own
+        return out
+
+    def _plain(self, df: DataFrame) -> DataFrame:
+        return df.drop(self._id) if self._own else df
 
     def _one(self) -> str:
         if len(self._columns) != 1:
             raise ValueError("fences are for one column")
         return self._columns[0]
 
+    def _flagged(self, tolerance: float | None = None) -> DataFrame:
+        return flag_outliers(self._df, self._one(), tolerance or self._tolerance, self._accuracy, "_outlier")
+
+    def _rated(self, k: int, normalize: bool, seed: int) -> DataFrame:
+        return distance_ratio(self._df, self._columns, k, normalize, seed, "_ratio")
+
     def bounds(self) -> tuple[float | None, float | None]:
         return bounds(self._df, self._one(), self._tolerance, self._accuracy)
 
     def outlier(self, tolerance: float | None = None) -> DataFrame:
         """The rows outside the fences."""
-        flagged = flag_outliers(self._df, self._one(), tolerance or self._tolerance, self._accuracy, "_outlier")
-        return flagged.where("_outlier").drop("_outlier")
+        return self._plain(self._flagged(tolerance).where("_outlier").drop("_outlier"))
+
+    def outlier_ids(self, tolerance: float | None = None) -> DataFrame:
+        """The ids of the rows outside the fences."""
+        return self._flagged(tolerance).where("_outlier").select(self._id)
 
     def fraction(self) -> float:
         """Share of the rows that are outliers; 0 for an empty table."""
-        flagged = flag_outliers(self._df, self._one(), self._tolerance, self._accuracy, "_outlier")
-        return flagged.agg(F.avg(F.col("_outlier").cast("int"))).first()[0] or 0.0
+        return self._flagged().agg(F.avg(F.col("_outlier").cast("int"))).first()[0] or 0.0
 
     def delete_outlier_one(self, tolerance: float | None = None) -> OutlierDetector:
-        df = delete_outliers(self._df, self._one(), tolerance or self._tolerance, self._accuracy)
-        return OutlierDetector(df, self._columns, self._tolerance, self._accuracy)
+        return self._with(delete_outliers(self._df, self._one(), tolerance or self._tolerance, self._accuracy))
 
     def kmeans_check(self, threshold: float, k: int = 3, normalize: bool = True, seed: int = 42) -> DataFrame:
         """The rows whose distance ratio exceeds the threshold."""
-        rated = distance_ratio(self._df, self._columns, k, normalize, seed, "_ratio")
-        return rated.where(F.col("_ratio") > threshold).drop("_ratio")
+        return self._plain(self._rated(k, normalize, seed).where(F.col("_ratio") > threshold).drop("_ratio"))
+
+    def kmeans_ids(self, threshold: float, k: int = 3, normalize: bool = True, seed: int = 42) -> DataFrame:
+        """The ids of the rows whose distance ratio exceeds the threshold."""
+        return self._rated(k, normalize, seed).where(F.col("_ratio") > threshold).select(self._id)
 
     def delete_outlier_kmeans(self, threshold: float, k: int = 3, normalize: bool = True, seed: int = 42) -> OutlierDetector:
-        df = delete_outliers_kmeans(self._df, self._columns, threshold, k, normalize, seed)
-        return OutlierDetector(df, self._columns, self._tolerance, self._accuracy)
+        return self._with(delete_outliers_kmeans(self._df, self._columns, threshold, k, normalize, seed))
 
-    def show(self, n: int = 10, truncate: bool = True) -> None:
-        self._df.show(n, truncate)
+    def show(self, n: int = 10, truncate: bool = True, with_id: bool = False) -> None:
+        (self._df if with_id else self.get_dataframe()).show(n, truncate)
 
     def get_dataframe(self) -> DataFrame:
-        return self._df
+        return self._plain(self._df)

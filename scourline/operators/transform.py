@@ -18,6 +18,8 @@ from ..storage import cut_lineage, stage
 
 #: Entries of a lookup from which it becomes a join instead of an expression.
 LOOKUP_EXPRESSION_SIZE = 500
+#: Operators of a Cleaner after which it writes its table and cuts the lineage, if asked to.
+CHECKPOINT_EVERY = 50
 
 
 def _apply(df: DataFrame, names: Iterable[str], function: Callable[[Column], Column]) -> DataFrame:
@@ -88,22 +90,21 @@ def cast_columns(df: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
     return df.select(*[F.col(quoted(c)).try_cast(targets[c]).alias(c) if c in targets else F.col(quoted(c)) for c in df.columns])
 
 
-def set_columns(df: DataFrame, columns: str | list[str], function: Callable, data_type: str) -> DataFrame:
+def set_columns(df: DataFrame, columns: str | list[str], function: Callable, data_type: str, python: bool = False) -> DataFrame:
     """A function applied to columns of a type.
 
-    ``function`` maps a Column to a Column; a function of Python values works too, as an Arrow-batched
-    function that gets no null, but is slower.
+    ``function`` maps a Column to a Column. With ``python`` it maps Python values, none of them null, in Arrow batches,
+    which is slower.
     """
     names = resolve_columns(df, columns, data_type)
-    try:
-        built = {c: function(F.col(quoted(c))) for c in names}
-    except Exception:
-        built = {}
-    if any(not isinstance(x, Column) for x in built.values()) or len(built) < len(names):
+    if python:
         kinds = {f.name: f.dataType for f in df.schema.fields}
-        built = {
-            c: F.udf(lambda v: None if v is None else function(v), kinds[c], useArrow=True)(F.col(quoted(c))) for c in names
-        }
+        apply = lambda kind: F.udf(lambda v: None if v is None else function(v), kind, useArrow=True)
+        built = {c: apply(kinds[c])(F.col(quoted(c))) for c in names}
+    else:
+        built = {c: function(F.col(quoted(c))) for c in names}
+        if any(not isinstance(x, Column) for x in built.values()):
+            raise TypeError("function must return a Column; for one of Python values say python=True")
     return df.select(*[built[c].alias(c) if c in built else F.col(quoted(c)) for c in df.columns])
 
 
@@ -306,6 +307,24 @@ def replace_in_groups(df: DataFrame, fixes: DataFrame, keys: list[str], columns:
     )
 
 
+def replace_sub_table(df: DataFrame, bad: DataFrame, good: DataFrame, keys: list[str]) -> DataFrame:
+    """Within the rows whose keys are those of ``bad``, values of its first row become those of the first row of ``good``.
+
+    Both have one schema; their first rows are the smallest by all columns. Replacement is by column; other rows stay.
+    Where ``bad`` holds several keys, each takes its own first rows, and a key without a good row stays as it is.
+    """
+    if bad.columns != good.columns:
+        raise ValueError("both tables must have the same columns")
+    resolve_columns(bad, keys)
+    columns = [c for c in bad.columns if c not in keys]
+    if not columns:
+        return df
+    first = lambda t, name: t.groupBy(*[F.col(quoted(k)) for k in keys]).agg(F.min(F.struct(*[F.col(quoted(c)) for c in columns])).alias(name))
+    fixes = first(bad, "#bad").join(first(good, "#good"), list(keys))
+    wide = [F.col(f"#{side}.{quoted(c)}").alias(f"{side}_{c}") for side in ("bad", "good") for c in columns]
+    return replace_in_groups(df, fixes.select(*[F.col(quoted(k)) for k in keys], *wide), list(keys), columns)
+
+
 # ---- texts and dates
 
 
@@ -371,15 +390,23 @@ def remove_duplicates(df: DataFrame, columns: list[str] | None = None, order: li
 
 
 class Cleaner:
-    """A DataFrame with the operators as chainable methods; every method returns a new wrapper."""
+    """A DataFrame with the operators as chainable methods; every method returns a new wrapper.
+
+    With ``checkpoint_every`` the table is written into the checkpoint folder after so many operators, so that plans of very
+    long chains stay small; CHECKPOINT_EVERY is a usual number. The default is never, as chains of expressions
+    become one projection.
+    """
 
-    def __init__(self, df: DataFrame) -> None:
+    def __init__(self, df: DataFrame, checkpoint_every: int | None = None, applied: int = 0) -> None:
         if not isinstance(df, DataFrame):
             raise TypeError("df must be a DataFrame")
-        self._df = df
+        self._df, self._every, self._applied = df, checkpoint_every, applied
 
     def _then(self, function: Callable, *args: Any, **kwargs: Any) -> Cleaner:
-        return Cleaner(function(self._df, *args, **kwargs))
+        df, applied = function(self._df, *args, **kwargs), self._applied + 1
+        if self._every is not None and applied > self._every:
+            df, applied = cut_lineage(df), 0
+        return Cleaner(df, self._every, applied)
 
     @property
     def df(self) -> DataFrame:
@@ -389,7 +416,7 @@ class Cleaner:
         return self._df
 
     def set_data_frame(self, df: DataFrame) -> Cleaner:
-        return Cleaner(df)
+        return Cleaner(df, self._every)
 
     def show(self, n: int = 10, truncate: bool = True) -> None:
         self._df.show(n, truncate)
@@ -399,7 +426,7 @@ class Cleaner:
 
     def check_point(self) -> Cleaner:
         """Write the table into the checkpoint folder and cut its lineage. Runs a job."""
-        return Cleaner(cut_lineage(self._df))
+        return Cleaner(cut_lineage(self._df), self._every)
 
     execute = check_point
 
@@ -446,7 +473,7 @@ class Cleaner:
 
 def _method(function: Callable) -> Callable:
     def call(self: Cleaner, *args: Any, **kwargs: Any) -> Cleaner:
-        return Cleaner(function(self._df, *args, **kwargs))
+        return self._then(function, *args, **kwargs)
 
     call.__doc__ = function.__doc__
     call.__name__ = function.__name__
@@ -460,7 +487,7 @@ for _name, _function in {
     "add_ordered_key": add_ordered_key, "addCount": add_count, "sql": sql, "filter_rows": filter_rows,
     "delete_row": filter_rows, "row_filter_by_type": filter_by_type, "remove_empty_rows": remove_empty_rows,
     "replace_na": replace_nulls, "impute_missing": impute, "empty_str_to_str": empty_to_text,
-    "replace_col": replace_value, "lookup": lookup, "replace_by_id": replace_by_id, "replace_sub_df": replace_in_groups,
+    "replace_col": replace_value, "lookup": lookup, "replace_by_id": replace_by_id, "replace_sub_df": replace_sub_table, "replace_in_groups": replace_in_groups,
     "lower_case": lower_case, "upper_case": upper_case, "trim_col": trim, "clear_accents": clear_accents,
     "remove_special_chars": remove_special_chars, "remove_special_chars_regex": remove_special_chars_regex,
     "date_transform": transform_dates, "age_calculate": calculate_age, "remove_duplicates": remove_duplicates,

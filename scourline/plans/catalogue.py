@@ -102,7 +102,7 @@ def set_col_expr(spark, d):
 
 @query
 def set_col_python(spark, d):
-    return P.set_columns(table(spark, d, "nation"), ["n_name"], lambda name: name[::-1].lower(), "string")
+    return P.set_columns(table(spark, d, "nation"), ["n_name"], lambda name: name[::-1].lower(), "string", python=True)
 
 
 @query
@@ -394,6 +394,35 @@ def lsh_resolve(spark, d):
     return D.resolve(rows, "p_name", D.blocked_pairs(rows, "p_name", "p_partkey", 6, "levenshtein", 0.6))
 
 
+@query
+def lsh_matched_rows(spark, d):
+    rows = table(spark, d, "part").select("p_partkey", "p_name")
+    return D.pair_rows(rows, "p_name", D.blocked_pairs(rows, "p_name", "p_partkey", 6, "levenshtein", 0.6), "p_partkey")
+
+
+@query
+def lsh_pairs_city(spark, d):
+    """Hot blocks: many spellings of one city share theirs."""
+    pairs = D.blocked_pairs(table(spark, d, "demo_city"), "city", "row_id", 4, "hamming", 0.85)
+    return pairs.select("value_l", "value_r", F.round("similarity", 6).alias("similarity"), "canonical", "total")
+
+
+@query
+def record_preview(spark, d):
+    """The ten largest groups with a fix, one row for each of their rows."""
+    dd = D.Deduplicator(table(spark, d, "demo_city").select("row_id", "city", "country", "population"), "row_id")
+    fixes = dd.record_matching(["city", "country"], ["population"])
+    shown = dd.preview_records(fixes, 10, ["city", "country"])
+    return shown.select(F.array_join("key", "|").alias("key"), "column", "canonical", "total", "row_id")
+
+
+@query
+def record_variants(spark, d):
+    dirty = _dirty_part(spark, d).select("p_partkey", "p_name", "p_brand")
+    fixes = D.record_matching(dirty, ["p_name"], ["p_brand"], "p_partkey")
+    return D.record_variants(dirty.drop("p_partkey"), ["p_name"], fixes).withColumn("key", F.col("key")[0])
+
+
 # ---- functional dependencies
 
 
@@ -434,14 +463,18 @@ def fd_repair_greedy_orders(spark, d):
 
 @query
 def replace_sub_df(spark, d):
-    fixes = I.greedy_fixes(_hospital(spark, d), HOSPITAL[0])
-    return P.replace_in_groups(_hospital(spark, d), fixes, ["ZIPCode"], ["City", "State"])
+    """The rarest combinations of each ZIP code become the most frequent ones, first for first."""
+    counts = I.histogram(_hospital(spark, d), HOSPITAL[0])
+    ends = counts.groupBy("ZIPCode").agg(F.min("count").alias("lo"), F.max("count").alias("hi")).where("lo < hi")
+    both = counts.join(ends, "ZIPCode")
+    bad, good = (both.where(f"count = {x}").select("ZIPCode", "City", "State") for x in ("lo", "hi"))
+    return P.replace_sub_table(_hospital(spark, d), bad, good, ["ZIPCode"])
 
 
 @query
 def fd_repair_fixpoint(spark, d):
     """The left values that still violate the rule after ever more passes: those whose counts tie."""
-    orders = table(spark, d, "orders").select("o_custkey", "o_orderpriority").where("o_orderpriority is not null")
+    orders = table(spark, d, "orders").select("o_custkey", "o_orderpriority")
     rule = I.Dependency(("o_custkey",), ("o_orderpriority",))
     return I.violations(I.repair_greedy(orders, [rule], passes=4), rule)
 
@@ -479,6 +512,11 @@ def outlier_delete_price(spark, d):
     return O.delete_outliers(table(spark, d, "price_area"), "Price", accuracy=1_000_000)
 
 
+@query
+def outlier_ids(spark, d):
+    return O.OutlierDetector(table(spark, d, "events").select("event_id", "value"), "value", accuracy=1_000_000, id_column="event_id").outlier_ids()
+
+
 @query
 def outlier_kmeans(spark, d):
     rated = O.distance_ratio(table(spark, d, "demo_gdp"), ["population", "averageGDP"], 3)
@@ -499,9 +537,9 @@ def vector_assemble(spark, d):
 
 @query
 def minmax_scale_vec(spark, d):
-    rows = table(spark, d, "price_area").dropna()
     v = vector_to_array("scaled")
-    return M.scale_vec_col(rows, ["Price", "AreaLiving"], "scaled").select("row_id", F.round(v[0], 9).alias("a"), F.round(v[1], 9).alias("b"))
+    rows = table(spark, d, "part").select("p_partkey", "p_size", "p_retailprice")
+    return M.scale_vec_col(rows, ["p_size", "p_retailprice"], "scaled").select("p_partkey", F.round(v[0], 9).alias("a"), F.round(v[1], 9).alias("b"))
 
 
 @query
@@ -588,6 +626,15 @@ def checkpointed(spark, d):
     return P.Cleaner(table(spark, d, "supplier")).lower_case("s_name").check_point().upper_case("s_name").df
 
 
+@query
+def checkpointed_often(spark, d):
+    """A long chain of operators whose plan is cut as it grows."""
+    chain = P.Cleaner(table(spark, d, "supplier").select("s_suppkey", "s_name"), checkpoint_every=10)
+    for _ in range(12):
+        chain = chain.lower_case("s_name").upper_case("s_name")
+    return chain.df
+
+
 @query
 def load_demo(spark, d):
     return io.load_demo(spark)

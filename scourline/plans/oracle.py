@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from ..functions.text import LETTERS, PUNCTUATION, SINGLE_LETTERS, accent_tables
+import re
+import string
 
-_PUNCT = "'" + PUNCTUATION.replace("'", "''") + "'"
+_PUNCT = "'" + string.punctuation.replace("'", "''") + "'"
 _SPACE = r"[\s\x0b\x1c-\x1f\x85\p{Z}]+"
-# Compatibility forms of several letters that the tables hold.
-_LIGATURES = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("…", "...")]
+# Letters without a decomposition and how they are written in ASCII.
+_WRITTEN = [("ß", "ss"), ("æ", "ae"), ("œ", "oe"), ("þ", "th"), ("Æ", "AE"), ("Œ", "OE"), ("Þ", "TH")]
+_WRITTEN_AS_ONE = ("øØłŁđĐðÐıħĦ", "oOlLdDdDihH")
+# Compatibility forms that the tables hold, besides full-width ones and spaces.
+_SEVERAL = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "st"), ("ﬆ", "st"), ("…", "...")]
+_SINGLE = ("ⅠⅤⅩⅬⅭⅮⅯⅰⅴⅹⅼⅽⅾⅿϲſℓ", "IVXLCDMivxlcdmςsl")
 
 
 def _quote(text: str) -> str:
@@ -15,18 +20,21 @@ def _quote(text: str) -> str:
 
 
 def _accents(x: str) -> str:
-    src, dst, _ = accent_tables()
-    for a, b in _LIGATURES:
+    """SQL of a text without accents, by DuckDB's own function; compatibility forms are written out before."""
+    wide = "".join(map(chr, range(0xFF01, 0xFF5F)))
+    plain = "".join(map(chr, range(0x21, 0x7F)))
+    spaces = "".join(map(chr, [0xA0, *range(0x2000, 0x200B), 0x202F, 0x205F, 0x3000]))
+    for a, b in _SEVERAL:
         x = f"replace({x}, '{a}', '{b}')"
-    return f"translate({x}, {_quote(src)}, {_quote(dst)})"
+    return f"strip_accents(translate({x}, {_quote(wide + _SINGLE[0] + spaces)}, {_quote(plain + _SINGLE[1] + ' ' * len(spaces))}))"
 
 
 def _fingerprint(x: str) -> str:
     """SQL of the fingerprint of an expression."""
     plain = f"translate(lower(regexp_replace({x}, '^{_SPACE}|{_SPACE}$', '', 'g')), {_PUNCT}, '')"
     once = "array_to_string(list_filter(cs, lambda c, i: list_position(cs, c) = i), '')"
-    latin = f"translate({_accents('f')}, '{SINGLE_LETTERS[0]}', '{SINGLE_LETTERS[1]}')"
-    for a, b in LETTERS:
+    latin = f"translate({_accents('f')}, '{_WRITTEN_AS_ONE[0]}', '{_WRITTEN_AS_ONE[1]}')"
+    for a, b in _WRITTEN:
         latin = f"replace({latin}, '{a}', '{b}')"
     return f"(SELECT CASE WHEN regexp_full_match(f, '[\\x00-\\x7F]*') THEN f ELSE {latin} END FROM (SELECT {once} AS f FROM (SELECT string_split({plain}, '') AS cs)))"
 
@@ -71,24 +79,50 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY key, "column" ORDER BY n DE
 fixes AS (SELECT key, "column", value AS canonical, n AS canonical_n, total FROM ranked WHERE rk = 1 AND n < total)""" + shown
 
 
-def _blocks(measure: str) -> str:
-    """CTEs ending in pairs of part names that share a block of 6 and are more alike than 0.6."""
+def _blocks(measure: str, rows: str = "part", column: str = "p_name", row_id: str = "p_partkey", size: int = 6, least: float = 0.6) -> str:
+    """CTEs ending in pairs of values that share a block and are more alike than ``least``."""
     return f"""
-WITH counts AS (SELECT p_name AS value, count(*) AS n, min(p_partkey) AS first FROM part WHERE p_name IS NOT NULL GROUP BY 1),
+WITH counts AS (SELECT {column} AS value, count(*) AS n, min({row_id}) AS first FROM {rows} WHERE {column} IS NOT NULL GROUP BY 1),
 keyed AS (SELECT *, {_fingerprint('value')} AS key FROM counts),
-blocks AS (SELECT DISTINCT value, n, first, unnest(CASE WHEN length(key) > 6
-             THEN list_transform(range(0, length(key) // 6), lambda i: substring(key, i * 6 + 1, 6)) ELSE [key] END) AS block FROM keyed),
+blocks AS (SELECT DISTINCT value, n, first, unnest(CASE WHEN length(key) > {size}
+             THEN list_transform(range(0, length(key) // {size}), lambda i: substring(key, i * {size} + 1, {size})) ELSE [key] END) AS block FROM keyed),
 near AS (SELECT DISTINCT a.value AS l, b.value AS r, a.n AS nl, b.n AS nr, a.first AS fl, b.first AS fr
          FROM blocks a JOIN blocks b ON a.block = b.block AND a.value < b.value),
 scored AS (SELECT *, string_split(l, '') AS a, string_split(r, '') AS b, greatest(length(l), length(r)) AS size FROM near),
 pairs AS (
   SELECT l AS value_l, r AS value_r, round({measure}, 6) AS similarity, CASE WHEN nl > nr OR (nl = nr AND fl < fr) THEN l ELSE r END AS canonical,
-         greatest(nl, nr) AS canonical_n, nl + nr AS total FROM scored WHERE {measure} > 0.6)"""
+         greatest(nl, nr) AS canonical_n, nl + nr AS total FROM scored WHERE {measure} > {least})"""
 
 
 _DIFFERENT = "(list_sum(list_transform(range(1, size + 1), lambda i: CASE WHEN a[i] IS NOT DISTINCT FROM b[i] THEN 0 ELSE 1 END)))"
 _COMMON = "(list_sum(list_transform(list_distinct(a), lambda x: least(length(list_filter(a, lambda y: y = x)), length(list_filter(b, lambda y: y = x))))))"
+# rows of bits of the longest common subsequence, one step for each character of the second text
+_MASKS = "list_transform(b, lambda y: list_reduce(list_transform(range(0, length(l)), lambda i: CASE WHEN a[i + 1] = y THEN 1::HUGEINT << i::HUGEINT ELSE 0::HUGEINT END), lambda p, q: p | q))"
+_FULL = "((1::HUGEINT << length(l)::HUGEINT) - 1)"
+_SUBSEQUENCE = f"(length(l) - bit_count(list_reduce({_MASKS}, lambda row, m: ((row + (row & m)) | (row - (row & m))) & {_FULL}, {_FULL})))"
+_SUBSTRING = "list_max(list_transform(range(1, length(l) + 1), lambda i: list_max(list_transform(range(0, length(l) - i + 2), lambda k: CASE WHEN contains(r, substring(l, i, k)) THEN k ELSE 0 END))))"
+
+
+def _rating(x: str) -> str:
+    """SQL of the match-rating code of a text, as a list of letters."""
+    kept = f"string_split(concat(upper(substring({x}, 1, 1)), regexp_replace(upper(substring({x}, 2)), '[AEIOU]', '', 'g')), '')"
+    squeezed = f"list_filter({kept}, lambda c, i: i = 1 OR ({kept})[i - 1] <> c)"
+    return f"CASE WHEN length({squeezed}) > 6 THEN list_concat(({squeezed})[1:3], ({squeezed})[-3:]) ELSE {squeezed} END"
+
+
+def _rated() -> str:
+    """SQL of the match-rating similarity of l and r: letters matched from the left, then from the right."""
+    left = lambda o, t: f"list_reverse(list_filter({o}, lambda c, i: {t}[i] IS DISTINCT FROM c))"
+    codes = f"SELECT {_rating('l')} AS o, {_rating('r')} AS t"
+    once = f"SELECT o, t, {left('o', 't')} AS o1, {left('t', 'o')} AS t1 FROM ({codes})"
+    score = f"(greatest(length(o), length(t)) - greatest(length({left('o1', 't1')}), length({left('t1', 'o1')}))) / greatest(length(o), length(t))"
+    return f"(SELECT CASE WHEN length(o) + length(t) = 0 THEN 1.0::DOUBLE WHEN abs(length(o) - length(t)) > 2 THEN 0.0::DOUBLE ELSE {score} END FROM ({once}))"
+
+
 _MEASURES = {
+    "lcsseq": f"{_SUBSEQUENCE} / size",
+    "lcsstr": f"{_SUBSTRING} / size",
+    "mra": _rated(),
     "hamming": f"1 - {_DIFFERENT} / size",
     "mlipns": f"CASE WHEN {_DIFFERENT} <= 0.25 * size OR {_DIFFERENT} - 1 <= 0.25 * (size - 1) OR {_DIFFERENT} - 2 <= 0.25 * (size - 2) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END",
     "levenshtein": "1 - levenshtein(l, r) / size",
@@ -226,6 +260,18 @@ ORACLE: dict[str, str] = {
     + """, sides AS (SELECT value_l AS value, canonical, total FROM pairs UNION ALL SELECT value_r, canonical, total FROM pairs),
 best AS (SELECT value, canonical FROM sides WHERE value <> canonical QUALIFY row_number() OVER (PARTITION BY value ORDER BY total DESC, canonical) = 1)
 SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT JOIN best b ON b.value = p.p_name""",
+    "lsh_matched_rows": _blocks(_MEASURES["levenshtein"])
+    + " SELECT value_l, value_r, p_partkey FROM pairs JOIN part ON p_name IN (value_l, value_r)",
+    "lsh_pairs_city": _blocks(_MEASURES["hamming"], "demo_city", "city", "row_id", 4, 0.85) + " SELECT value_l, value_r, similarity, canonical, total FROM pairs",
+    "record_preview": _matching(
+        "SELECT * FROM demo_city", ["city", "country"], ["population"], "row_id",
+        """ SELECT array_to_string(f.key, '|') AS key, f."column", f.canonical, f.total, k.row_id FROM
+        (SELECT * FROM fixes ORDER BY total DESC, key, "column" LIMIT 10) f JOIN keyed k USING (key)""",
+    ),
+    "record_variants": _matching(
+        _PART, ["p_name"], ["p_brand"], "p_partkey",
+        """ SELECT key[1] AS key, "column", value, n FROM counts WHERE key IN (SELECT key FROM fixes)""",
+    ),
     "fd_violations": _HOSPITAL + " SELECT ZIPCode, count(*) AS num FROM z_counts GROUP BY 1",
     "fd_histogram": _HOSPITAL + " SELECT ProviderNumber, City, PhoneNumber, n AS count FROM p_counts",
     "fd_violations_orders": "SELECT o_custkey, count(DISTINCT o_orderpriority) AS num FROM orders GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1",
@@ -244,6 +290,13 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
     "fd_repair_greedy_orders": "WITH "
     + _fd("c", "orders", "o_custkey", ["o_orderpriority"])
     + f" SELECT o.o_orderkey, o.o_custkey, {_swap('o_orderpriority', 'c', 'o.o_orderpriority')} AS o_orderpriority FROM orders o LEFT JOIN c_fixes c USING (o_custkey)",
+    "fd_repair_fixpoint": "WITH t0 AS MATERIALIZED (SELECT o_orderkey, o_custkey, o_orderpriority FROM orders), "
+    + ", ".join(
+        re.sub(r"(_all|_counts|_fixes) AS \(", r"\1 AS MATERIALIZED (", _fd(f"c{k}", f"t{k}", "o_custkey", ["o_orderpriority"]))
+        + f", t{k + 1} AS MATERIALIZED (SELECT o.o_orderkey, o.o_custkey, {_swap('o_orderpriority', 'c', 'o.o_orderpriority')} AS o_orderpriority FROM t{k} o LEFT JOIN c{k}_fixes c USING (o_custkey))"
+        for k in range(4)
+    )
+    + " SELECT o_custkey, count(DISTINCT o_orderpriority) AS num FROM t4 GROUP BY 1 HAVING count(DISTINCT o_orderpriority) > 1",
     "fd_repair_holistic": _HOSPITAL
     + """, z_best AS (SELECT ZIPCode, City, n FROM z_counts QUALIFY row_number() OVER (PARTITION BY ZIPCode ORDER BY n DESC, City NULLS FIRST, State NULLS FIRST) = 1),
     p_keys AS (SELECT DISTINCT ProviderNumber FROM p_counts)
@@ -256,11 +309,12 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
       SELECT row_id, coalesce(population < q1 - 1.5 * (q3 - q1) OR population > q3 + 1.5 * (q3 - q1), false) AS is_outlier FROM demo_outlier_int, q""",
     "outlier_delete": """WITH q AS (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events)
       SELECT event_id, value FROM events, q WHERE value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)""",
+    "outlier_ids": """WITH q AS (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events)
+      SELECT event_id FROM events, q WHERE value < q1 - 1.5::DOUBLE * (q3 - q1) OR value > q3 + 1.5::DOUBLE * (q3 - q1)""",
     "outlier_delete_price": """WITH q AS (SELECT quantile_disc(Price, 0.25) AS q1, quantile_disc(Price, 0.75) AS q3 FROM price_area)
       SELECT row_id, Price, AreaLiving FROM price_area, q WHERE Price IS NULL OR Price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)""",
     "vector_assemble": "SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part",
-    "minmax_scale_vec": f"""WITH r AS (SELECT * FROM price_area WHERE Price IS NOT NULL AND AreaLiving IS NOT NULL)
-      SELECT row_id, round({_minmax('Price', 'r')}, 9) AS a, round({_minmax('AreaLiving', 'r')}, 9) AS b FROM r""",
+    "minmax_scale_vec": f"SELECT p_partkey, round({_minmax('p_size', 'part')}, 9) AS a, round({_minmax('p_retailprice', 'part')}, 9) AS b FROM part",
     "normalize_vec": """SELECT p_partkey, round(p_size / sqrt(p_size * p_size + p_retailprice * p_retailprice), 9) AS a,
       round(p_retailprice / sqrt(p_size * p_size + p_retailprice * p_retailprice), 9) AS b FROM part""",
     "string_index": "SELECT p_partkey, place::DOUBLE AS p_brand_index FROM part JOIN " + _INDEXED.format(c="p_brand", t="part") + " USING (p_brand)",
@@ -275,6 +329,7 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
     "url_csv_read": "SELECT * FROM region",
     "url_json_read": "SELECT * FROM region",
     "checkpointed": "SELECT s_suppkey, upper(s_name) AS s_name, s_nationkey, s_acctbal FROM supplier",
+    "checkpointed_often": "SELECT s_suppkey, upper(s_name) AS s_name FROM supplier",
     "load_demo": """SELECT * FROM (VALUES ('Bogota', 'Colombia', 37800000), ('New York', 'America', 9795791), ('   São Paulo', 'Brazil', 12341418),
       ('~Madrid', 'Spain', 6489162), ('New York', 'America', 19795791), ('New York  ', 'Amarica', 19795791), ('Bogotá', 'Colombia', 37800000)) AS t(city, country, population)""",
     "column_dictionary": "SELECT n_nationkey, n_name AS nation, n_regionkey::DOUBLE AS region FROM nation",

@@ -14,13 +14,21 @@ _shipped: set[str] = set()
 
 
 def local_session(cpus: str | int = "*", partitions: int = 8, memory: str = "8g") -> SparkSession:
-    """A session on this machine, with the settings the operators are tested with."""
+    """A session on this machine, with the settings the operators are tested with.
+
+    Its folder for checkpoints and intermediate tables is one of this machine, deleted at the end. Small shuffles keep their
+    partitions, as their rows take longer than their bytes suggest.
+    """
+    folder = tempfile.mkdtemp(prefix="scourline-shared-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("scourline")
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.adaptive.enabled", "true")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.checkpoint.dir", f"file://{folder}")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

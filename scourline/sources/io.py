@@ -61,11 +61,11 @@ def read_parquet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def download(url: str, folder: str | None = None) -> str:
-    """A copy on the driver of what a URL names; its path. The name is what follows the last slash."""
+def download(url: str, folder: str) -> str:
+    """A copy on the driver, in a folder, of what a URL names; its path. The name is what follows the last slash."""
     if not url.startswith(("http://", "https://", "file://")):
         raise ValueError("url must start with http://, https:// or file://")
-    target = Path(folder or tempfile.mkdtemp(prefix="scourline-get-")) / (url.rstrip("/").rpartition("/")[2] or "download")
+    target = Path(folder) / (url.rstrip("/").rpartition("/")[2] or "download")
     with urllib.request.urlopen(urllib.request.Request(url)) as source, target.open("wb") as out:
         shutil.copyfileobj(source, out, _CHUNK)
     return str(target)
@@ -73,14 +73,15 @@ def download(url: str, folder: str | None = None) -> str:
 
 def download_shared(spark: SparkSession, url: str) -> str:
     """A copy of what a URL names in the folder that all executors share; its path."""
-    local = download(url)
+    folder = tempfile.mkdtemp(prefix="scourline-get-")  # on the driver only, until the copy is in the shared folder
+    local = download(url, folder)
     target = f"{new_folder(spark, 'download')}/{Path(local).name}"
     jvm = spark.sparkContext._jvm
     place = jvm.org.apache.hadoop.fs.Path(target)
     system = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     system.mkdirs(place.getParent())
     system.copyFromLocalFile(True, True, jvm.org.apache.hadoop.fs.Path(f"file://{local}"), place)
-    shutil.rmtree(Path(local).parent)
+    shutil.rmtree(folder)
     return target
 
 
@@ -92,6 +93,16 @@ def read_url(spark: SparkSession, url: str, ty: str = "csv") -> DataFrame:
     return read_json(spark, path) if ty == "json" else load_csv(spark, path)
 
 
+def load_spark_data_frame_from_url(spark: SparkSession, url: str) -> DataFrame:
+    """A CSV file behind a URL, as read_url reads it."""
+    return read_url(spark, url)
+
+
+def json_load_spark_data_frame_from_url(spark: SparkSession, url: str) -> DataFrame:
+    """A JSON file behind a URL, as read_url reads it."""
+    return read_url(spark, url, "json")
+
+
 def csv_to_parquet(spark: SparkSession, input_path: str, output_path: str, sep: str = ",", header: str | bool = "true", num_partitions: int | None = None, mode: str = "error") -> None:
     """A CSV table written as Parquet, in at most ``num_partitions`` files."""
     df = read_csv(spark, input_path, sep, header)

@@ -5,6 +5,7 @@ import pytest
 from scourline import Cleaner, ConstraintCorrector, Dependency, parse_rules
 from scourline.operators import constraints as I
 
+# Rules and rows whose violations and repairs are known.
 RULES = {"rules": [{"type": "fd", "value": ["ZIPCode | City, State"]}, {"type": "fd", "value": ["ProviderNumber | City, PhoneNumber"]}]}
 GROUPS = [
     (1, 35233, 10018.0, "NewYork", "AL", 253258100), (24, 35233, 10018.0, "BIRMINGHAM", "AL", 2053258100),
@@ -85,3 +86,9 @@ def test_nulls(spark):
 def test_unknown_fix_rule(hospital):
     with pytest.raises(ValueError):
         ConstraintCorrector(hospital, "row_id").parse_ic(RULES).correct_violations("min_cells")
+
+
+def test_display(hospital, capsys):
+    ConstraintCorrector(hospital, "row_id").parse_ic(RULES).display_violation_rows()
+    out = capsys.readouterr().out
+    assert "ZIPCode | City, State" in out and "90028" in out

@@ -29,6 +29,29 @@ def test_blocked_pairs_golden(demo):
     assert round(pair[0].similarity, 3) == 0.857
 
 
+@pytest.mark.parametrize("cell", [1000, 7])
+def test_hot_blocks_in_cells(spark, monkeypatch, cell):
+    monkeypatch.setattr(D, "CELL_VALUES", cell)
+    values = [f"abcdef {k:03d}" for k in range(60)] + ["abc", None, "", "zzz zzz"]
+    df = spark.createDataFrame([(k, v) for k, v in enumerate(values * 2)], "id long, v string")
+    got = D.blocked_pairs(df, "v", "id", 3, "hamming", 0.85)
+    want = {(a, b) for a in values[:60] for b in values[:60] if a < b and sum(x != y for x, y in zip(a, b, strict=True)) / 10 < 0.15}
+    assert {(r.value_l, r.value_r) for r in got.collect()} == want and got.count() == len(want)
+    rows = D.pair_rows(df, "v", got, "id")
+    assert rows.count() == 4 * len(want) and rows.where("value_l = 'abcdef 000' and value_r = 'abcdef 001'").count() == 4
+
+
+def test_previews(spark, demo, capsys):
+    dd = Deduplicator(demo, "id")
+    fixes = dd.record_matching(["city"], ["population"])
+    shown = dd.preview_records(fixes, 1, ["city"]).collect()
+    assert [(r.column, r.total, r.id) for r in shown] == [("population", 3, 1), ("population", 3, 4), ("population", 3, 5)]
+    assert dd.record_variants(["city"], fixes).where("column = 'population'").count() == 2
+    dd.show(2)
+    assert "Bogota" in capsys.readouterr().out
+    assert dd.preview(dd.key_collision_clustering("city"), 1).count() == 2
+
+
 def test_record_matching_golden(spark, demo):
     fixed = Cleaner(demo).remove_special_chars("city").clear_accents("*").trim_col("*").df
     fixed = D.resolve(fixed, "country", D.blocked_pairs(fixed, "country", "id", 2, threshold=0.8))

@@ -28,6 +28,9 @@ def test_malformed_lines_are_dropped(spark, tmp_path):
     (tmp_path / "x.csv").write_text("a,b\n1,2\n3,4,5\n6,7\n")
     assert io.load_csv(spark, str(tmp_path / "x.csv")).collect() == [(1, 2), (6, 7)]
     assert io.read_url(spark, f"file://{tmp_path}/x.csv").count() == 2
+    assert io.load_spark_data_frame_from_url(spark, f"file://{tmp_path}/x.csv").collect() == [(1, 2), (6, 7)]
+    (tmp_path / "x.json").write_text('[{"a": 1}, {"a": 2}]')
+    assert io.json_load_spark_data_frame_from_url(spark, f"file://{tmp_path}/x.json").count() == 2
     with pytest.raises(ValueError):
         io.read_url(spark, "ftp://x/y.csv")
 

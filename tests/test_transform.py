@@ -88,6 +88,7 @@ def test_fingerprint_against_a_model_on_random_texts(spark):
         return "".join(single.get(c, c) for c in s if not unicodedata.combining(c))
 
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(12))) for _ in range(1500)]
+    texts += ["ab. " * 40 + "".join(rng.choice(alphabet + "xyz𝐁") for _ in range(rng.randrange(300))) for _ in range(100)]
     df = spark.createDataFrame([(t,) for t in texts], "c string")
     got = [r[0] for r in df.select(X.fingerprint(F.col("c"))).collect()]
     assert [(t, g) for t, g in zip(texts, got, strict=True) if g != model(t)] == []
@@ -133,8 +134,12 @@ def test_move_and_cast_keep_order(demo):
 
 def test_set_columns_takes_columns_and_python(demo):
     a = P.set_columns(demo, "population", lambda c: c + 1, "integer")
-    b = P.set_columns(demo, "population", lambda v: v.__add__(1), "integer")
+    b = P.set_columns(demo, "population", lambda v: v.__add__(1), "integer", python=True)
     assert a.collect() == b.collect()
+    with pytest.raises(TypeError):
+        P.set_columns(demo, "population", lambda c: 7, "integer")
+    with pytest.raises(ZeroDivisionError):  # an error of the function is not hidden
+        P.set_columns(demo, "population", lambda c: c + 1 // 0, "integer")
 
 
 def test_nulls_and_empty_tables(spark):
@@ -164,6 +169,30 @@ def test_sql_keeps_braces(demo):
     assert P.sql(demo, "SELECT '{x}' AS b, count(*) AS n FROM __THIS__").collect() == [("{x}", 7)]
 
 
+def test_replace_sub_table_goes_by_column(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (1, "a", "y"), (1, "b", "x"), (2, "a", "x"), (None, "a", "x")], "k int, c string, e string")
+    bad, good = spark.createDataFrame([(1, "a", "x")], df.schema), spark.createDataFrame([(1, "b", "z"), (1, "c", "z")], df.schema)
+    out = Cleaner(df).replace_sub_df(bad, good, ["k"]).df
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, "b", "z"), (1, "b", "y"), (1, "b", "z"), (2, "a", "x"), (None, "a", "x")]))
+    with pytest.raises(ValueError):
+        P.replace_sub_table(df, bad, good.select("k", "c"), ["k"])
+
+
+def test_long_chains_write_their_table_now_and_then(demo):
+    chain = Cleaner(demo, checkpoint_every=3)
+    for k in range(1, 9):
+        chain = chain.lower_case("city")
+        assert chain._applied == k % 4
+    plan = chain.df._jdf.queryExecution().analyzed().toString()
+    assert "LogicalRDD" in plan and chain.df.count() == 7
+    assert Cleaner(demo).lower_case("city")._every is None
+
+
+def test_show_and_collect(demo, capsys):
+    Cleaner(demo).show(2)
+    assert "Bogota" in capsys.readouterr().out and len(Cleaner(demo).collect()) == 7
+
+
 def test_checkpoint_cuts_the_lineage(demo):
     assert Cleaner(demo).check_point().df.count() == 7
 

@@ -98,23 +98,27 @@ def centre_distances(df: DataFrame, columns: list[str], centres: list[list[float
     return df.withColumn("_near", nearest).select("*", F.col("_near.c").alias("_c"), F.sqrt("_near.d").alias("_d")).drop("_near")
 
 
+def centre_ratio(df: DataFrame, columns: list[str], centres: list[list[float]], scales: list[tuple[float, float]], name: str) -> DataFrame:
+    """A column with the distance of each row from its nearest centre as a share of the largest among the rows of that centre.
+
+    A centre whose rows all lie on it gives 0; a row with a null or NaN has no centre and gives null.
+    """
+    out = centre_distances(df, columns, centres, scales)
+    largest = out.groupBy("_c").agg(F.max("_d").alias("_m"))  # a row for each centre and one for rows without
+    joined = out.join(F.broadcast(largest), "_c", "left")
+    ratio = F.when(F.col("_m") > 0, F.col("_d") / F.col("_m")).otherwise(F.when(F.col("_d").isNotNull(), 0.0))
+    return joined.select(*[F.col(quoted(c)) for c in df.columns], ratio.alias(name))
+
+
 def distance_ratio(
     df: DataFrame, columns: str | list[str], k: int = 3, normalized: bool = True, seed: int = 42, name: str = "distance_ratio"
 ) -> DataFrame:
-    """The distance of each row from its k-means centre as a share of the largest in its cluster.
-
-    Centres come from kmeans_centres. A cluster whose rows all lie on the centre
-    gives 0; a row with a null or NaN has no cluster and gives null.
-    """
+    """The distance of each row from its k-means centre as a share of the largest in its cluster; see kmeans_centres and centre_ratio."""
     names = resolve_columns(df, columns, "numeric")
     centres, scales = kmeans_centres(df, names, k, normalized, seed)
     if not centres:
         return df.withColumn(name, F.lit(None).cast("double"))
-    out = centre_distances(df, names, centres, scales)
-    largest = out.groupBy("_c").agg(F.max("_d").alias("_m"))  # k rows and one for rows without a cluster
-    joined = out.join(F.broadcast(largest), "_c", "left")
-    ratio = F.when(F.col("_m") > 0, F.col("_d") / F.col("_m")).otherwise(F.when(F.col("_d").isNotNull(), 0.0))
-    return joined.select(*[F.col(quoted(c)) for c in df.columns], ratio.alias(name))
+    return centre_ratio(df, names, centres, scales, name)
 
 
 def delete_outliers_kmeans(

@@ -2,9 +2,8 @@
 
 from __future__ import annotations
 
-import shutil
-import tempfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
@@ -523,6 +522,14 @@ def outlier_kmeans(spark, d):
     return rated.select("row_id", F.round("distance_ratio", 6).alias("distance_ratio"))
 
 
+@query
+def outlier_centre_ratio(spark, d):
+    """Ratios to given centres."""
+    centres = [[1000.0, 500.0], [500_000.0, 20_000.0], [9_000_000.0, 60_000.0]]
+    rated = O.centre_ratio(table(spark, d, "demo_gdp"), ["population", "averageGDP"], centres, [(0.0, 1000.0), (0.0, 10.0)], "ratio")
+    return rated.select("row_id", F.round("ratio", 6).alias("ratio"))
+
+
 @query
 def outlier_kmeans_delete(spark, d):
     return O.delete_outliers_kmeans(table(spark, d, "demo_gdp"), ["population", "averageGDP"], 0.9).select("row_id")
@@ -603,21 +610,25 @@ def create_data_frame(spark, d):
     return io.create_data_frame(spark, [(1, "a", 0.5), (2, None, 1.5)], ["k", "name", "x"])
 
 
+def _served(spark: SparkSession) -> Path:
+    """A new folder of the shared file system, whose files the driver reads by file:// URLs."""
+    folder = Path(new_folder(spark, "url").removeprefix("file:"))
+    folder.mkdir(parents=True)
+    return folder
+
+
 @query
 def url_csv_read(spark, d):
-    folder = tempfile.mkdtemp(prefix="scourline-url-")
-    table(spark, d, "region").toPandas().to_csv(f"{folder}/region.csv", index=False)
-    out = io.read_url(spark, f"file://{folder}/region.csv")
-    shutil.rmtree(folder)
-    return out
+    folder = _served(spark)
+    table(spark, d, "region").toPandas().to_csv(folder / "region.csv", index=False)  # five rows
+    return io.read_url(spark, f"file://{folder}/region.csv")
 
 
 @query
 def url_json_read(spark, d):
-    folder = tempfile.mkdtemp(prefix="scourline-url-")
-    io.write_json_array(table(spark, d, "region"), f"{folder}/region.json")
+    folder = _served(spark)
+    io.write_json_array(table(spark, d, "region"), str(folder / "region.json"))
     out = io.read_url(spark, f"file://{folder}/region.json", "json")
-    shutil.rmtree(folder)
     return out.select(F.col("r_regionkey").cast("int").alias("r_regionkey"), "r_name")
 
 

@@ -311,6 +311,13 @@ SELECT p.p_partkey, coalesce(b.canonical, p.p_name) AS p_name FROM part p LEFT J
       SELECT event_id, value FROM events, q WHERE value BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)""",
     "outlier_ids": """WITH q AS (SELECT quantile_disc(value, 0.25) AS q1, quantile_disc(value, 0.75) AS q3 FROM events)
       SELECT event_id FROM events, q WHERE value < q1 - 1.5::DOUBLE * (q3 - q1) OR value > q3 + 1.5::DOUBLE * (q3 - q1)""",
+    "outlier_centre_ratio": """
+WITH centres(c, x, y) AS (VALUES (0, 1000.0::DOUBLE, 500.0::DOUBLE), (1, 500000.0, 20000.0), (2, 9000000.0, 60000.0)),
+far AS (SELECT row_id, c, pow(population / 1000.0::DOUBLE - x, 2) + pow(averageGDP / 10.0::DOUBLE - y, 2) AS d FROM demo_gdp, centres
+        WHERE population IS NOT NULL AND averageGDP IS NOT NULL AND NOT isnan(averageGDP)),
+near AS (SELECT row_id, arg_min(c, [d, c]) AS c, sqrt(min(d)) AS d FROM far GROUP BY row_id),
+rated AS (SELECT row_id, CASE WHEN max(d) OVER (PARTITION BY c) > 0 THEN d / max(d) OVER (PARTITION BY c) ELSE 0 END AS ratio FROM near)
+SELECT row_id, round(ratio, 6) AS ratio FROM demo_gdp LEFT JOIN rated USING (row_id)""",
     "outlier_delete_price": """WITH q AS (SELECT quantile_disc(Price, 0.25) AS q1, quantile_disc(Price, 0.75) AS q3 FROM price_area)
       SELECT row_id, Price, AreaLiving FROM price_area, q WHERE Price IS NULL OR Price BETWEEN q1 - 1.5::DOUBLE * (q3 - q1) AND q3 + 1.5::DOUBLE * (q3 - q1)""",
     "vector_assemble": "SELECT p_partkey, p_size::DOUBLE AS a, p_retailprice AS b FROM part",

@@ -121,6 +121,15 @@ SELECT DISTINCT row_id, arg_min(place_id, [CASE WHEN {_letters('country')} = {_l
          ELSE levenshtein({_letters('country')}, {_letters('land')}) END, place_id]) AS place_id
 FROM cases GROUP BY row_id, key"""
 
+_FORMED = f"""
+WITH forms(c, f) AS (VALUES {_values(_character_forms())}), looks(c, f) AS (VALUES {_values(_look_forms())}),
+texts AS (SELECT DISTINCT city AS v, nfc_normalize(city) AS s FROM demo_city WHERE city <> ''),
+formed AS ({_by_character('texts', 'forms')}),
+base AS (SELECT v, t AS s FROM formed WHERE t <> ''),
+looked AS ({_by_character('base', 'looks')}),
+rows AS (SELECT row_id, city, CASE WHEN city IS NOT NULL THEN coalesce(t, '') END AS form FROM demo_city LEFT JOIN looked ON v = city)
+SELECT row_id, city, form, {_folded('form')} AS key FROM rows"""
+
 _TOKENS = "list_concat(string_split({0}, ''), list_transform(range(0, length({0}) + 1), lambda i: substring(concat('^', {0}, '$'), i + 1, 2)))"
 _CLOSEST = f"""
 WITH v AS (SELECT DISTINCT lower(regexp_replace(city, '[^A-Za-z]', '', 'g')) AS value FROM demo_city),
@@ -135,6 +144,7 @@ QUALIFY row_number() OVER (PARTITION BY value ORDER BY 1 - d / n::DOUBLE DESC, j
 
 ORACLE = {
     "p3_found": _LOOK_ALIKES,
+    "p3_forms": _FORMED,
     "p1_found": _LAYOUT + " SELECT first_row_id, row_id AS copy_row_id FROM sets WHERE row_id <> first_row_id",
     "p1_records": _LAYOUT
     + """, counts AS (SELECT first_row_id, count(*) AS n FROM sets GROUP BY 1)

@@ -212,7 +212,11 @@ def consensus_fields(
     votes and agreements counted by many tasks, with the same result.
     """
     kind = dict(df.dtypes)[group_col]
-    rows = stage(_rows(df, group_col, id_col, fields, order, weight), "survivor-rows")
+    counts = df.where(F.col(group_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(group_col).alias("g")).agg(F.count(F.lit(1)).alias("n"))
+    counts = stage(counts.where("n > 1"), "survivor-counts")
+    # only rows that have another one in their group go on
+    several = df.join(counts.select(F.col("g").alias(group_col)), group_col, "left_semi")
+    rows = _rows(several, group_col, id_col, fields, order, weight)
     cells = F.array(*[F.struct(F.lit(n).alias("f"), F.col(f"v{n}").alias("v")) for n in range(len(fields))])
     long = rows.select("g", "o", "w", F.explode(cells).alias("x")).where("x.v is not null").select("g", "x.f", "x.v", "o", "w")
     values = stage(long.groupBy("g", "f", "v").agg(F.round(F.sum("w"), WEIGHT_DIGITS).alias("w"), F.min("o").alias("o")), "survivor-values")
@@ -228,7 +232,6 @@ def consensus_fields(
         found = found.unionByName(_voted_apart(values.join(large, ["g", "f"], "left_semi"), kind))
     cells = [F.max(F.when(F.col("f") == n, F.struct(F.element_at("o", -1).alias("i"), "v"))).alias(f"b{n}") for n in range(len(fields))]
     wide = found.groupBy("g").agg(*cells)
-    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     return counts.join(wide, "g", "left").select(
         F.col("g").alias(group_col), F.col("n").alias("n_rows"),
         *[x for n, c in enumerate(fields) for x in (F.col(f"b{n}.i").alias(f"{c}_row_id"), F.col(f"b{n}.v").alias(c))],

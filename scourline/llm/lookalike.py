@@ -32,6 +32,10 @@ SEEN = [(0x600, 0x605), (0x6DD, 0x6DD), (0x70F, 0x70F), (0x890, 0x891), (0x8E2,
 # What stands in the names of other characters without a width.
 UNSEEN_NAMES = ["VARIATION SELECTOR", "FILLER", "GRAPHEME JOINER", "VOWEL INHERENT"]
 
+#: Rows, and bytes, of Arrow batches that go through the embedded SQL together.
+FORM_ROWS, FORM_BYTES = 100_000, 16_000_000
+#: Compatibility forms are looked up in parts, first and last code point of each, as texts mostly hold those of one.
+PARTS = [(0x80, 0x1FFF), (0x2000, 0x218F), (0x2190, 0xFEFF), (0xFF00, 0xFFFF), (0x10000, sys.maxunicode)]
 #: Bytes of a reference list up to which it is broadcast.
 BROADCAST_BYTES = 1_000_000
 
@@ -86,6 +90,16 @@ def character_class(characters: Iterable[str]) -> str:
     return "[" + "".join(f"\\x{{{lo:X}}}-\\x{{{hi:X}}}" for lo, hi in ranges) + "]"
 
 
+def _parts(text: str, table: dict[str, str]) -> list[str]:
+    """SQL expressions, one after the other over column s, that replace the characters of each part where there are some."""
+    found = []
+    for lo, hi in PARTS:
+        own = {a: b for a, b in table.items() if lo <= ord(a) <= hi}
+        if own:
+            found.append(f"CASE WHEN regexp_matches({text}, '{character_class(own)}') THEN {_replaced(text, own)} ELSE {text} END")
+    return found
+
+
 def _replaced(text: str, table: dict[str, str]) -> str:
     """SQL of a text with characters replaced: those that become one by translate, those that become several by a map."""
     one, several = {a: b for a, b in table.items() if len(b) == 1}, {a: b for a, b in table.items() if len(b) > 1}
@@ -100,13 +114,17 @@ def _replaced(text: str, table: dict[str, str]) -> str:
 def form_sql() -> str:
     """The SQL that brings column v of table batch to its form, keys and plain layout-free text."""
     t = tables()
-    unseen, spaces, compatible, look = (character_class(t[x]) for x in ("unseen", "spaces", "compatible", "look"))
+    unseen, spaces, look = (character_class(t[x]) for x in ("unseen", "spaces", "look"))
+    parts = _parts("s", t["compatible"])
+    steps = "\n".join(f"p{k} AS (SELECT i, v, ascii, CASE WHEN ascii THEN s ELSE {part} END AS s FROM {f'p{k - 1}' if k else 'b'})," for k, part in enumerate(parts))
+    last = len(parts) - 1
     key = lambda x: f"regexp_replace(lower({x}), '{_LAYOUT}', '', 'g')"
     nu = f"translate(before, {_quoted(_NU[0])}, {_quoted(_NU[1])})"
     return f"""
 WITH a AS (SELECT i, v, regexp_full_match(v, '[\\x00-\\x7F]*') AS ascii FROM batch),
 b AS (SELECT i, v, ascii, CASE WHEN ascii THEN v ELSE nfc_normalize(regexp_replace(regexp_replace(v, '{unseen}', '', 'g'), '{spaces}', ' ', 'g')) END AS s FROM a),
-c AS (SELECT i, v, ascii, CASE WHEN NOT ascii AND regexp_matches(s, '{compatible}') THEN nfc_normalize({_replaced('s', t["compatible"])}) ELSE s END AS s FROM b),
+{steps}
+c AS (SELECT i, v, ascii, CASE WHEN ascii THEN s ELSE nfc_normalize(s) END AS s FROM p{last}),
 d AS (SELECT i, v, s AS before, CASE WHEN NOT ascii AND regexp_matches(s, '{look}') THEN nfc_normalize({_replaced('s', t["look"])}) ELSE s END AS s FROM c)
 SELECT s AS form, {key('s')} AS key,
        CASE WHEN regexp_matches(before, '[{_NU[0]}]') THEN {key(f'nfc_normalize({_replaced(nu, t["look"])})')} END AS other_key,
@@ -114,26 +132,39 @@ SELECT s AS form, {key('s')} AS key,
 FROM d ORDER BY i"""
 
 
-def _forms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each distinct text of an Arrow batch goes through the embedded SQL once."""
-    import duckdb
-
-    con = duckdb.connect(config={"threads": 1})
-    sql = form_sql()
-    for batch in batches:
-        coded = batch.column(batch.num_columns - 1).dictionary_encode()
-        words = pa.table({"i": pa.array(range(len(coded.dictionary)), pa.int64()), "v": coded.dictionary})
-        con.register("batch", words)
-        made = con.sql(sql).to_arrow_table().combine_chunks()
-        con.unregister("batch")
-        names = batch.schema.names[:-1]
-        columns = batch.columns[:-1]
-        for name in ("form", "key", "other_key", "plain"):
-            column = made.column(name)
-            column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
-            columns.append(column.cast(pa.string()).take(coded.indices))
-            names.append(name)
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+def _forms(sql: str):
+    """Each distinct text of some Arrow batches goes through the embedded SQL once; the driver writes that down."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import duckdb
+
+        con = duckdb.connect(config={"threads": 1})
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= FORM_ROWS or sum(b.nbytes for b in held) >= FORM_BYTES:
+                yield from _formed(con, sql, held)
+                held = []
+        if held:
+            yield from _formed(con, sql, held)
+
+    return run
+
+
+def _formed(con, sql: str, held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    table = pa.Table.from_batches(held).combine_chunks()
+    if not table.num_rows:
+        return
+    coded = table.column(table.num_columns - 1).chunk(0).dictionary_encode()
+    con.register("batch", pa.table({"i": pa.array(range(len(coded.dictionary)), pa.int64()), "v": coded.dictionary}))
+    found = con.sql(sql).to_arrow_table().combine_chunks()
+    con.unregister("batch")
+    out = table.select(table.schema.names[:-1])
+    for name in ("form", "key", "other_key", "plain"):
+        column = found.column(name)
+        column = column.combine_chunks() if column.num_chunks != 1 else column.chunk(0)
+        out = out.append_column(name, column.cast(pa.string()).take(coded.indices))
+    yield from out.combine_chunks().to_batches(max_chunksize=10_000)
 
 
 def consistent_form(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
@@ -153,7 +184,7 @@ def consistent_form(df: DataFrame, text_col: str, keep: list[str]) -> DataFrame:
     inner = [F.col(c).alias(f"k{n}") for n, c in enumerate(keep)]
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     schema = ", ".join([*(f"k{n} {types[c]}" for n, c in enumerate(keep)), "form string, key string, other_key string, plain string"])
-    made = map_in_arrow(df.select(*inner, F.col(text_col).cast("string").alias("text")), _forms, schema)
+    made = map_in_arrow(df.select(*inner, F.col(text_col).cast("string").alias("text")), _forms(form_sql()), schema)
     return made.select(*[F.col(f"k{n}").alias(c) for n, c in enumerate(keep)], "form", "key", "other_key", "plain")
 
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import quoted, resolve_columns
 from ..functions.similarity import LENGTH_BOUND, similarity
 from ..functions.text import fingerprint
+from ..storage import stage
 
 #: Distinct values of a block from which its pairs are made by several tasks.
 CELL_VALUES = 1000
@@ -75,7 +76,7 @@ def blocked_pairs(
     at most that length is a block. Values are compared as they stand, in the first block they share
     alone, however many they share. Where the method's value is bounded by the lengths, pairs that can't reach
     the threshold are dropped within the join; blocks of very many values are joined cell by cell. The rows of a
-    pair are given by pair_rows.
+    pair are given by pair_rows. Runs a job that writes the values with their blocks.
     """
     measure = similarity(method)
     if block_size < 1:
@@ -84,7 +85,8 @@ def blocked_pairs(
     size = F.length("_key")
     cut = F.transform(F.sequence(F.lit(0), F.floor(size / block_size).cast("int") - 1), lambda k: F.substring(F.col("_key"), k * block_size + 1, F.lit(block_size)))
     blocks = F.array_distinct(F.when(size > block_size, cut).otherwise(F.array("_key")))
-    rows = counts.select("value", "n", "first", blocks.alias("blocks")).select("*", F.explode("blocks").alias("block"))
+    # read three times: by both sides and for the sizes of blocks
+    rows = stage(counts.select("value", "n", "first", blocks.alias("blocks")).select("*", F.explode("blocks").alias("block")), "similar-blocks")
     left, right = _in_cells(rows, CELL_VALUES)
     left = left.drop("_parts").withColumnsRenamed({c: f"{c}_l" for c in ("value", "n", "first", "blocks")})
     right = right.drop("_parts").withColumnsRenamed({c: f"{c}_r" for c in ("value", "n", "first", "blocks")})

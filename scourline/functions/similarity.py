@@ -42,6 +42,11 @@ def hamming(a: Column, b: Column) -> Column:
     return 1 - _share_zero(_mismatches(a, b), _longest(a, b))
 
 
+def hamming_budget(size: int, threshold: float) -> int:
+    """The most positions of a longer text of ``size`` that may differ for a Hamming value over the threshold; 0 if none."""
+    return max((d for d in range(size + 1) if 1 - d / size > threshold), default=0)
+
+
 def _share_zero(part: Column, whole: Column) -> Column:
     return F.when(whole == 0, 0.0).otherwise(part / whole)
 

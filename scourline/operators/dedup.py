@@ -10,12 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import quoted, resolve_columns
-from ..functions.similarity import LENGTH_BOUND, similarity
+from ..functions.similarity import LENGTH_BOUND, hamming_budget, similarity
 from ..functions.text import fingerprint
 from ..storage import stage
 
 #: Distinct values of a block from which its pairs are made by several tasks.
 CELL_VALUES = 1000
+#: Values are joined by segments up to this length, and from this threshold: there, segments are few and not too short.
+SEGMENT_LENGTH, SEGMENT_LEAST = 64, 0.75
 #: Parts into which the rows of an all-pairs join are cut on each side.
 PAIR_PARTS = 16
 
@@ -58,14 +60,46 @@ def _in_cells(rows: DataFrame, size: int) -> tuple[DataFrame, DataFrame]:
     """Both sides of a join of the values of a block: equal in block, i and j for every two values of a block.
 
     A block of more than ``size`` values becomes a grid of cells by hashed values, so that no task gets all its pairs.
+    At most one in ``size`` rows is such a block's, so their sizes are broadcast. Blocks of one hash count together.
     """
-    sizes = rows.groupBy("block").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
+    sizes = rows.groupBy(F.xxhash64("block").alias("_hash")).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > size)
     parts = F.coalesce(F.ceil(F.col("_n") / size), F.lit(1)).cast("int")
-    cut = rows.join(sizes, "block", "left").withColumn("_parts", parts).drop("_n")
+    cut = rows.join(F.broadcast(sizes), F.xxhash64("block") == F.col("_hash"), "left").withColumn("_parts", parts).drop("_n", "_hash")
     own, every = F.pmod(F.xxhash64("value"), F.col("_parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))
     return cut.withColumn("_i", own).withColumn("_j", every), cut.withColumn("_j", own).withColumn("_i", every)
 
 
+def _segment(value: Column, part: Column, parts: Column, size: Column) -> Column:
+    """One of the parts of nearly equal length into which the first ``size`` characters of a value are cut."""
+    start = F.floor(size * part / parts).cast("int")
+    return F.substring(value, start + 1, F.floor(size * (part + 1) / parts).cast("int") - start)
+
+
+def _in_segments(values: DataFrame, threshold: float) -> DataFrame:
+    """The values by what two of them more alike than a Hamming threshold share: (..., block, _short, _part, _cuts, _most, _side).
+
+    Values of the lengths short <= long may differ at _most positions, of which those beyond the shorter one are some. If
+    its characters are cut into one part more than may differ among them, the two are equal in a part: that, with its
+    place and both lengths, is a block. _side is 1 in the longer value, 2 in the shorter one, 0 if they are of one length.
+    Pairs with a value over SEGMENT_LENGTH share one of their ``blocks`` as it stands, with _part -1.
+    """
+    plan = []
+    for long in range(1, SEGMENT_LENGTH + 1):
+        most = hamming_budget(long, threshold)
+        for short in range(long - most, long + 1) if most else ():  # distinct values differ somewhere
+            parts = most - (long - short) + 1
+            for size, side in [(long, 0)] if short == long else [(long, 1), (short, 2)]:
+                plan += [(size, short, long, part, parts, most, side) for part in range(parts)]
+    names = ("_size", "_short", "_long", "_part", "_cuts", "_most", "_side")
+    places = values.sparkSession.createDataFrame(plan, ", ".join(f"{c} int" for c in names))
+    segment = _segment(F.col("value"), F.col("_part"), F.col("_cuts"), F.col("_short"))
+    cut = values.join(F.broadcast(places), F.length("value") == F.col("_size"))
+    cut = cut.withColumn("block", F.concat_ws("\0", segment, "_short", "_long", "_part")).drop("_size", "_long")
+    whole = values.where(F.length("value") > threshold * SEGMENT_LENGTH).select("*", F.explode("blocks").alias("block"))
+    fixed = {"_short": 0, "_part": -1, "_cuts": 0, "_most": 0, "_side": 0}
+    return cut.unionByName(whole.withColumns({c: F.lit(x) for c, x in fixed.items()}))
+
+
 def blocked_pairs(
     df: DataFrame, column: str, id_column: str, block_size: int = 6, method: str = "levenshtein", threshold: float = 0.81
 ) -> DataFrame:
@@ -75,7 +109,8 @@ def blocked_pairs(
     consecutive blocks of ``block_size`` characters, a trailing shorter one is dropped; a fingerprint of
     at most that length is a block. Values are compared as they stand, in the first block they share
     alone, however many they share. Where the method's value is bounded by the lengths, pairs that can't reach
-    the threshold are dropped within the join; blocks of very many values are joined cell by cell. The rows of a
+    the threshold are dropped within the join; blocks of very many values are joined cell by cell. With Hamming and a
+    high threshold only values with a segment in common meet, of which no pair is missed. The rows of a
     pair are given by pair_rows. Runs a job that writes the values with their blocks.
     """
     measure = similarity(method)
@@ -85,21 +120,40 @@ def blocked_pairs(
     size = F.length("_key")
     cut = F.transform(F.sequence(F.lit(0), F.floor(size / block_size).cast("int") - 1), lambda k: F.substring(F.col("_key"), k * block_size + 1, F.lit(block_size)))
     blocks = F.array_distinct(F.when(size > block_size, cut).otherwise(F.array("_key")))
-    # read three times: by both sides and for the sizes of blocks
-    rows = stage(counts.select("value", "n", "first", blocks.alias("blocks")).select("*", F.explode("blocks").alias("block")), "similar-blocks")
+    # read three times: by both sides and for the sizes of blocks. Written before blocks are exploded, else Catalyst
+    # tests that there are any, for which it takes the fingerprint of every row instead of every distinct value
+    values = stage(counts.select("value", "n", "first", blocks.alias("blocks")), "similar-blocks")
+    segments = method == "hamming" and threshold >= SEGMENT_LEAST
+    rows = _in_segments(values, threshold) if segments else values.select("*", F.explode("blocks").alias("block"))
     left, right = _in_cells(rows, CELL_VALUES)
+    if segments:
+        left, right = left.where("_side <> 2"), right.where("_side <> 1").drop("_short", "_part", "_cuts", "_most", "_side")
     left = left.drop("_parts").withColumnsRenamed({c: f"{c}_l" for c in ("value", "n", "first", "blocks")})
     right = right.drop("_parts").withColumnsRenamed({c: f"{c}_r" for c in ("value", "n", "first", "blocks")})
-    near = F.col("value_l") < F.col("value_r")
+    a, b = F.col("value_l"), F.col("value_r")
+    near = a < b
     if method in LENGTH_BOUND:
-        a, b = F.length("value_l"), F.length("value_r")
-        near = near & (F.least(a, b) > threshold * F.greatest(a, b))
+        near = near & (F.least(F.length(a), F.length(b)) > threshold * F.greatest(F.length(a), F.length(b)))
     once = F.array_min(F.array_intersect("blocks_l", "blocks_r")) == F.col("block")
-    pairs = left.join(right, ["block", "_i", "_j"]).where(near & once)
-    scored = pairs.withColumn("similarity", measure(F.col("value_l"), F.col("value_r"))).where(F.col("similarity") > threshold)
+    if segments:
+        whole = F.col("_part") < 0
+        edits = F.call_function("levenshtein", a, b, F.col("_most"))  # -1 if more; never more than the positions that differ
+        within = ((F.col("_side") == 1) | (a < b)) & (edits >= 0) & F.arrays_overlap("blocks_l", "blocks_r")
+        near = F.when(whole, near & (F.greatest(F.length(a), F.length(b)) > SEGMENT_LENGTH)).otherwise(within)
+        before = F.sequence(F.lit(0), F.col("_part") - 1)
+        equal = lambda k: _segment(a, k, F.col("_cuts"), F.col("_short")) == _segment(b, k, F.col("_cuts"), F.col("_short"))
+        once = F.when(whole, once).when(F.col("_part") == 0, True).otherwise(~F.exists(before, equal))
+    pairs = left.join(right, ["block", "_i", "_j"]).where(near)
+    if not segments:
+        pairs = pairs.where(once)
+    scored = pairs.withColumn("similarity", measure(a, b)).where(F.col("similarity") > threshold)
+    if segments:  # few are left for what is no built-in loop
+        scored = scored.where(once)
     first = (F.col("n_l") > F.col("n_r")) | ((F.col("n_l") == F.col("n_r")) & (F.col("first_l") < F.col("first_r")))
+    same = (F.col("n_l") == F.col("n_r")) & (F.col("first_l") == F.col("first_r"))
     return scored.select(
-        "value_l", "value_r", "similarity", F.when(first, F.col("value_l")).otherwise(F.col("value_r")).alias("canonical"),
+        F.least(a, b).alias("value_l"), F.greatest(a, b).alias("value_r"), "similarity",
+        F.when(first, a).when(same, F.greatest(a, b)).otherwise(b).alias("canonical"),
         F.greatest("n_l", "n_r").alias("canonical_n"), (F.col("n_l") + F.col("n_r")).alias("total"),
     )
 

@@ -41,6 +41,29 @@ def test_hot_blocks_in_cells(spark, monkeypatch, cell):
     assert rows.count() == 4 * len(want) and rows.where("value_l = 'abcdef 000' and value_r = 'abcdef 001'").count() == 4
 
 
+def test_hot_block_of_unlike_values(spark, monkeypatch):
+    """Values of one block are compared if they have a segment in common, not each with each."""
+    calls = spark.sparkContext.accumulator(0)
+
+    def measure(a, b):
+        @F.udf("double")
+        def run(x, y):
+            calls.add(1)
+            return 1 - (sum(p != q for p, q in zip(x, y, strict=False)) + abs(len(x) - len(y))) / max(len(x), len(y))
+
+        return run(a, b)
+
+    values = [f"nova {k * 7919 % 100003:05d}{k * 104729 % 100003:05d}" for k in range(300)]
+    values += [v[:-1] + "x" for v in values[:20]] + [v + "y" for v in values[10:30]] + ["nova " + "z" * 70, "nova " + "z" * 69 + "w"]
+    df = spark.createDataFrame(list(enumerate(values)), "id long, v string")
+    monkeypatch.setattr(D, "similarity", lambda method: measure)
+    got = D.blocked_pairs(df, "v", "id", 4, "hamming", 0.85).collect()
+    exact = lambda x, y: 1 - (sum(p != q for p, q in zip(x, y, strict=False)) + abs(len(x) - len(y))) / max(len(x), len(y))
+    want = {(a, b): exact(a, b) for a in values for b in values if a < b and exact(a, b) > 0.85}
+    assert {(r.value_l, r.value_r): r.similarity for r in got} == want and len(got) == len(want) > 50
+    assert calls.value < 20 * len(want)
+
+
 def test_previews(spark, demo, capsys):
     dd = Deduplicator(demo, "id")
     fixes = dd.record_matching(["city"], ["population"])
